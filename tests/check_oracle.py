@@ -56,14 +56,11 @@ def compare(spark, con, sf, fn, text):
     dc, dr = rows_of([d[0] for d in cur.description], cur.fetchall())
     if sc != dc:
         return False, f"columns {sc} vs {dc}"
-    if len(sr) != len(dr):
-        extra = [r for r in sr if r not in dr][:2] if len(sr) < 5000 else ""
-        lost = [r for r in dr if r not in sr][:2] if len(sr) < 5000 else ""
-        return False, f"rows {len(sr)} vs {len(dr)}; only spark {extra}; only sql {lost}"
-    bad = [(a, b) for a, b in zip(sr, dr) if a != b]
-    if bad:
-        diff = {c: (x, y) for c, x, y in zip(sc, *bad[0]) if x != y}
-        return False, f"{len(bad)}/{len(sr)} rows differ, e.g. {diff} in {bad[0][0]}"
+    from collections import Counter
+    a, b = Counter(map(repr, sr)), Counter(map(repr, dr))
+    if a != b:
+        lost, extra = sorted((b - a).elements()), sorted((a - b).elements())
+        return False, f"rows {len(sr)} vs {len(dr)}, {len(extra)} differ; spark {extra[:2]}; sql {lost[:2]} {sc}"
     return True, f"{len(sr)} rows"
 
 

@@ -104,6 +104,11 @@ def safe_div(a: Column, b: Column, otherwise: Column | float | None = None) -> C
     return F.when(b == 0, other).otherwise(a / b)
 
 
+def div(a: str | Column, b: str | Column) -> Column:
+    """``a / b``, null where ``b`` is zero (plain ``/`` raises in ANSI mode)."""
+    return F.try_divide(col(a).cast("double"), col(b).cast("double"))
+
+
 def band(x: Column, cuts: list[tuple[float, float]], otherwise: float, null: float | None = None,
          above: bool = False) -> Column:
     """Step score: the first ``(cut, score)`` with ``x < cut`` (``x > cut`` if ``above``)."""

@@ -30,3 +30,17 @@ def top_n(df: DataFrame, by: str, n: int, ascending: bool = False) -> DataFrame:
     """Best ``n`` rows (a distributed take-ordered), ties by code."""
     key = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
     return df.orderBy(key, "code").limit(n)
+
+
+def quality_rank(df: DataFrame) -> DataFrame:
+    """Quality 0-100 from roe, gross margin, profit growth and PE; an absent column counts 50."""
+    def clip(c: str, top: float):
+        return F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(top)) if c in df.columns else None
+
+    parts = {"roe": (30.0, 0.3), "gross_margin": (50.0, 0.2), "profit_growth": (50.0, 0.3), "pe": (50.0, 0.2)}
+    total = F.lit(0.0)
+    for c, (top, w) in parts.items():
+        x = clip(c, top)
+        s = F.lit(50.0) if x is None else ((top - x if c == "pe" else x) * 100 / top)
+        total = total + s * w
+    return df.withColumn("quality_score", total)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import (
-    CODE, DATE, UNB, Ema, band, close, high, lag, low, open_, rmax, rmean, rmin, rstd, rsum, safe_div, vol, wc,
+    CODE, DATE, UNB, Ema, band, close, div, high, lag, low, open_, rmax, rmean, rmin, rstd, rsum, safe_div, vol, wc,
     with_ema)
 from tidemark.registry import FACTORS
 
@@ -119,7 +119,7 @@ def bollinger(df: DataFrame, period: int = 20, std: float = 2.0) -> DataFrame:
 def atr(df: DataFrame, period: int = 14, legacy: bool = False) -> DataFrame:
     """Mean true range; ``legacy`` measures against the previous high."""
     df = df.withColumn("true_range", true_range("high" if legacy else "close"))
-    df = df.withColumn("atr", rmean("true_range", period)).withColumn("atr_ratio", F.col("atr") / close() * 100)
+    df = df.withColumn("atr", rmean("true_range", period)).withColumn("atr_ratio", div("atr", "close") * 100)
     score = band(F.col("atr_ratio"), [(5, 20), (4, 30), (3, 40), (2, 60), (1, 80)], 70, null=50, above=True)
     return df.withColumn("atr_score", score)
 
@@ -172,7 +172,7 @@ def roc(df: DataFrame, period: int = 12) -> DataFrame:
 @FACTORS.register("mtm", "technical", "mtm_score")
 def mtm(df: DataFrame, period: int = 12) -> DataFrame:
     df = df.withColumn("mtm", close() - lag(close(), period))
-    pct = F.col("mtm") / close() * 100
+    pct = div("mtm", "close") * 100
     return df.withColumn("mtm_score", band(pct, [(-10, 90), (-5, 70), (0, 55), (5, 50), (10, 40)], 30, null=50))
 
 
@@ -221,7 +221,7 @@ def ma_gap(df: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
 
 
 def bias(df: DataFrame, periods: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    return df.withColumns({f"bias{n}": (close() - rmean(close(), n)) / rmean(close(), n) * 100 for n in periods})
+    return df.withColumns({f"bias{n}": div(close() - rmean(close(), n), rmean(close(), n)) * 100 for n in periods})
 
 
 # --------------------------------------------------------------------------
@@ -250,12 +250,12 @@ def library_volume(df: DataFrame) -> DataFrame:
     keep = df.columns
     chg = close() - lag("close")
     tp = (high() + low() + close()) / 3
-    df = df.withColumns({"_pv": chg / lag("close") * vol(), "_sv": F.when(chg > 0, vol()).when(chg < 0, -vol()).otherwise(F.lit(0)),
+    df = df.withColumns({"_pv": div(chg, lag("close")) * vol(), "_sv": F.when(chg > 0, vol()).when(chg < 0, -vol()).otherwise(F.lit(0)),
                          "_tv": tp * vol(), "volume_ma5": rmean(vol(), 5), "volume_ma20": rmean(vol(), 20)})
     run = wc().rowsBetween(UNB, 0)
     return df.withColumns({
-        "volume_ratio": vol() / F.col("volume_ma20"), "pvt": F.sum("_pv").over(run), "obv": F.sum("_sv").over(run),
-        "vwap": F.sum("_tv").over(run) / F.sum(vol()).over(run)}).select(
+        "volume_ratio": div(vol(), F.col("volume_ma20")), "pvt": F.sum("_pv").over(run), "obv": F.sum("_sv").over(run),
+        "vwap": div(F.sum("_tv").over(run), F.sum(vol()).over(run))}).select(
         *keep, "volume_ma5", "volume_ma20", "volume_ratio", "pvt", "obv", "vwap")
 
 
@@ -271,12 +271,12 @@ def library_atr(df: DataFrame, period: int = 14) -> DataFrame:
 
 def momentum(df: DataFrame, period: int = 10) -> DataFrame:
     p = lag(close(), period)
-    return df.withColumns({f"momentum_{period}": close() - p, f"momentum_pct_{period}": (close() / p - 1) * 100})
+    return df.withColumns({f"momentum_{period}": close() - p, f"momentum_pct_{period}": (div(close(), p) - 1) * 100})
 
 
 def basic_features(df: DataFrame) -> DataFrame:
     """MA 5/10/20/60, daily return %, 20-day volatility of returns, volume MA 5/20."""
-    df = df.withColumn("returns", (close() / lag("close") - 1) * 100)
+    df = df.withColumn("returns", (div(close(), lag("close")) - 1) * 100)
     return df.withColumns({**{f"ma{n}": rmean(close(), n) for n in (5, 10, 20, 60)},
                            "volatility_20": rstd("returns", 20), "volume_ma5": rmean(vol(), 5), "volume_ma20": rmean(vol(), 20)})
 
@@ -284,8 +284,8 @@ def basic_features(df: DataFrame) -> DataFrame:
 def panel_features(df: DataFrame) -> DataFrame:
     """momentum_20d, volatility_20d (std / mean), v_ratio10, ma_gap."""
     m20 = rmean(close(), 20)
-    df = df.withColumns({"momentum_20d": close() / lag(close(), 20) - 1, "volatility_20d": rstd(close(), 20) / m20,
-                         "v_ratio10": vol() / rmean(vol(), 10)})
+    df = df.withColumns({"momentum_20d": div(close(), lag(close(), 20)) - 1, "volatility_20d": div(rstd(close(), 20), m20),
+                         "v_ratio10": div(vol(), rmean(vol(), 10))})
     return ma_gap(df)
 
 
@@ -363,8 +363,8 @@ def panel_series(df: DataFrame) -> DataFrame:
     """The wide per-row feature set used by screens: bias, slope, trend, RSI, ratio, bands, ATR, limit flag."""
     df = rsi(df).drop("rsi_score")
     df = df.withColumns({"ma5": rmean(close(), 5), "ma10": rmean(close(), 10), "ma20": rmean(close(), 20), "ma60": rmean(close(), 60),
-                         "vol_ratio": vol() / rmean(vol(), 5)})
+                         "vol_ratio": div(vol(), rmean(vol(), 5))})
     df = atr(bollinger(df)).drop("bollinger_score", "atr_score", "true_range", "atr_ratio", "bb_bandwidth")
     return df.withColumns({
-        "bias20": (close() - F.col("ma20")) / F.col("ma20"), "slope20": F.col("ma20") / lag("ma20", 5) - 1,
+        "bias20": div(close() - F.col("ma20"), "ma20"), "slope20": div("ma20", lag("ma20", 5)) - 1,
         "trend_up": ((close() > F.col("ma5")) & (F.col("ma5") > F.col("ma10")) & (F.col("ma10") > F.col("ma20")))})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import (
-    CODE, DATE, UNB, band, close, high, lag, low, open_, rmean, rsum, safe_div, vol, wc)
+    CODE, DATE, UNB, band, close, div, high, lag, low, open_, rmean, rsum, safe_div, vol, wc)
 from tidemark.registry import FACTORS
 
 
@@ -111,7 +111,7 @@ def open_auction_volume(df: DataFrame, share: float = 0.15) -> DataFrame:
 def volume_price_pattern(df: DataFrame, days: int = 5) -> DataFrame:
     """Agreement of price and volume changes over the last days: a label and its score."""
     keep = df.columns
-    dp, dv = close() / lag("close") - 1, vol() / lag("volume") - 1
+    dp, dv = div(close(), lag("close")) - 1, div(vol(), lag("volume")) - 1
     df = df.withColumns({"_p": dp, "_v": dv})
     p, v = F.col("_p"), F.col("_v")
     df = df.withColumns({"_same": ((v > 0) == (p > 0)).cast("int"), "_uu": ((v > 0.2) & (p > 0)).cast("int"),
@@ -142,8 +142,8 @@ def mainforce_resonance(df: DataFrame, legacy: bool = False) -> DataFrame:
     rise = (close() > pc) & (low() >= pc)
     df = df.withColumns({
         "_i": F.row_number().over(wc()) - 1,
-        "_hit": F.coalesce((close() >= pc * 1.095) & (vol() / pv >= 1.5), F.lit(False)), "_vr": safe_div(vol(), pv),
-        "_crash": F.coalesce(close() < pc * 0.9, F.lit(False)), "_gap": F.when(low() > ph, (low() - ph) / ph),
+        "_hit": F.coalesce((close() >= pc * 1.095) & (div(vol(), pv) >= 1.5), F.lit(False)), "_vr": safe_div(vol(), pv),
+        "_crash": F.coalesce(close() < pc * 0.9, F.lit(False)), "_gap": F.when(low() > ph, div(low() - ph, ph)),
         "_rise": F.coalesce(rise, F.lit(False))})
     if not legacy:
         df = df.withColumn("_avg", F.avg(vol()).over(wc().rowsBetween(UNB, -1)))
@@ -178,7 +178,7 @@ def mainforce_resonance(df: DataFrame, legacy: bool = False) -> DataFrame:
     burst = None
     for d in (5, 4, 3, 2, 1):
         stood = F.min(close()).over(wc().rowsBetween(-(d - 1), 0)) >= lag("close", d)
-        ratio = lag("volume", d) / F.col("_avg")
+        ratio = div(lag("volume", d), "_avg")
         cond = (ratio >= 2) & stood
         part = F.least(F.lit(25.0), F.least(F.lit(15.0), (ratio - 2) * 5) + F.lit(float(d)))
         burst = F.when(cond, part) if burst is None else burst.when(cond, part)

@@ -312,7 +312,7 @@ f AS (SELECT *, lag(rise,5) OVER ({P}) f5, lag(rise,4) OVER ({P}) f4, lag(rise,3
 r AS (SELECT *, CASE WHEN f5 AND f4 AND f3 THEN CASE WHEN NOT f2 THEN 3 WHEN NOT f1 THEN 4 WHEN NOT rise THEN 5 ELSE 6 END
    WHEN f4 AND f3 AND f2 THEN CASE WHEN NOT f1 THEN 3 WHEN NOT rise THEN 4 ELSE 5 END
    WHEN f3 AND f2 AND f1 THEN CASE WHEN NOT rise THEN 3 ELSE 4 END WHEN f2 AND f1 AND rise THEN 3 ELSE 0 END AS run FROM f)
-SELECT r.code, r.trade_date, round(CAST(coalesce(least(25, 12.5 + least(12.5, (s1.vr - 1.5) * 5)), 0) AS DOUBLE),4) AS mf_s1_limit_up,
+SELECT r.code, r.trade_date, round(CAST(CASE WHEN s1.vr IS NULL THEN 0 ELSE least(25, 12.5 + least(12.5, (s1.vr - 1.5) * 5)) END AS DOUBLE),4) AS mf_s1_limit_up,
  round(CAST(coalesce(s2.g, 0) AS DOUBLE),4) AS mf_s2_gap, round(CAST(CASE WHEN r.i >= 10 AND run >= 3 THEN least(25, 10 + run * 3) ELSE 0 END AS DOUBLE),4) AS mf_s3_consecutive,
  round(CAST(coalesce(s4.g, 0) AS DOUBLE),4) AS mf_s4_volume
 FROM r LEFT JOIN s1 USING (code, i) LEFT JOIN s2 USING (code, i) LEFT JOIN s4 USING (code, i)""", "bars")
