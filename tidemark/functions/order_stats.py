@@ -68,6 +68,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     aggs = []
     for name, p in probs.items():
         h = (F.col("total") - 1) * F.lit(float(p))
+        h = F.when(F.abs(h - F.round(h)) < 1e-9, F.round(h)).otherwise(h)  # 35 * 0.2 is not quite 7
         lo, hi = F.floor(h), F.ceil(h)
         aggs += [
             F.max(F.when((first <= lo) & (lo <= last), x)).alias(f"_lo_{name}"),
@@ -80,35 +81,54 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     return out.select(*by, "n", *cols)
 
 
-def top_share(df: DataFrame, by: Sequence[str], value: str, share: float, key: str = "code",
-              largest: bool = True, name: str = "in_top", piece: int = PIECE) -> DataFrame:
-    """Flag the best ``floor(n * share)`` rows per group; ``key`` breaks ties.
+def share_ends(df: DataFrame, by: Sequence[str], value: str, top: float, bottom: float, key: str = "code",
+               piece: int = PIECE) -> DataFrame:
+    """Flags ``in_top`` / ``in_bottom``: the best and worst ``floor(n * share)`` rows per group.
 
-    ``n`` counts rows with a value; ``key`` is unique inside a group.
+    ``n`` counts rows with a value; ``key`` (unique inside a group) breaks ties
+    in ascending order.  One pass ranks values; only rows whose value straddles
+    a border are ranked again, by key.
     """
     by = list(by)
     st = order_stats(df, by, value, piece)
-    k = F.floor(F.col("total") * F.lit(float(share)))
-    ahead = (F.col("total") - F.col("below") - F.col("cnt")) if largest else F.col("below")
-    place = (st.withColumn("_k", k).withColumn("_ahead", ahead)
-               .select(*[F.col(b).alias(f"_{b}") for b in by], F.col(value).alias("_v"), "cnt", "_k", "_ahead"))
+    place = st.select(
+        *[F.col(b).alias(f"_{b}") for b in by], F.col(value).alias("_v"), "cnt",
+        F.floor(F.col("total") * F.lit(float(top))).alias("_kt"), F.floor(F.col("total") * F.lit(float(bottom))).alias("_kb"),
+        (F.col("total") - F.col("below") - F.col("cnt")).alias("_at"), F.col("below").alias("_ab"))
     on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] + [F.col(value) == F.col("_v")]
     rows = df.join(place, on, "left").drop("_v", *[f"_{b}" for b in by])
-    whole = (F.col("_ahead") + F.col("cnt")) <= F.col("_k")
-    edge = (F.col("_ahead") < F.col("_k")) & ~whole
-    ties = order_stats(rows.where(edge), by, key, piece).select(
+
+    def whole(s: str) -> Column:
+        return (F.col(f"_a{s}") + F.col("cnt")) <= F.col(f"_k{s}")
+
+    def edge(s: str) -> Column:
+        return (F.col(f"_a{s}") < F.col(f"_k{s}")) & ~whole(s)
+
+    split = rows.where(edge("t") | edge("b"))
+    ties = order_stats(split, [*by, value], key, piece).select(
         *[F.col(b).alias(f"_{b}") for b in by], F.col(key).alias("_key"), F.col("below").alias("_tie"))
     on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] + [F.col(key) == F.col("_key")]
     out = rows.join(ties, on, "left").drop("_key", *[f"_{b}" for b in by])
-    flag = F.coalesce(whole | (edge & ((F.col("_ahead") + F.col("_tie")) < F.col("_k"))), F.lit(False))
-    return out.withColumn(name, flag).drop("cnt", "_k", "_ahead", "_tie")
+
+    def flag(s: str) -> Column:
+        return F.coalesce(whole(s) | (edge(s) & ((F.col(f"_a{s}") + F.col("_tie")) < F.col(f"_k{s}"))), F.lit(False))
+
+    return out.withColumns({"in_top": flag("t"), "in_bottom": flag("b")}).drop("cnt", "_kt", "_kb", "_at", "_ab", "_tie")
+
+
+def top_share(df: DataFrame, by: Sequence[str], value: str, share: float, key: str = "code", piece: int = PIECE) -> DataFrame:
+    """Flag ``in_top`` for the best ``floor(n * share)`` rows per group."""
+    return share_ends(df, by, value, share, 0.0, key, piece).drop("in_bottom")
 
 
 def quantile_bucket(df: DataFrame, by: Sequence[str], value: str, n: int, name: str = "bucket",
-                    piece: int = PIECE) -> DataFrame:
-    """Half-open buckets 1..n between interpolated cut values per group."""
+                    piece: int = PIECE, closed: str = "left") -> DataFrame:
+    """Half-open buckets 1..n between interpolated cut values per group.
+
+    ``closed`` names the side of a bucket its own cut belongs to.
+    """
     if not by:
-        whole = quantile_bucket(df.withColumn("_all", F.lit(1)), ["_all"], value, n, name, piece)
+        whole = quantile_bucket(df.withColumn("_all", F.lit(1)), ["_all"], value, n, name, piece, closed)
         return whole.drop("_all")
     probs = {f"_q{i}": i / n for i in range(1, n)}
     q = quantiles(df, by, value, probs, piece).drop("n")
@@ -117,6 +137,7 @@ def quantile_bucket(df: DataFrame, by: Sequence[str], value: str, n: int, name:
     out = df.join(q, on, "left")
     bucket: Column = F.lit(1)
     for p in probs:
-        bucket = bucket + F.when(F.col(value) >= F.col(p), 1).otherwise(0)
+        above = F.col(value) >= F.col(p) if closed == "left" else F.col(value) > F.col(p)
+        bucket = bucket + F.when(above, 1).otherwise(0)
     out = out.withColumn(name, F.when(F.col(value).isNotNull(), bucket))
     return out.drop(*probs, *[f"_{b}" for b in by])
