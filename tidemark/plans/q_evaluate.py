@@ -41,8 +41,8 @@ query("e04_e09_ic_summary", sql(f"""WITH {IC} SELECT factor, count(*) AS n_dates
  round(avg(ic)/(stddev_samp(ic)/sqrt(count(*))),6) AS t_statistic FROM ic WHERE ic IS NOT NULL GROUP BY 1""", "bars"))(lambda s, d: rounded(E.ic_summary(E.daily_ic(lng(s, d))), 6))
 QB = "cnt AS (SELECT *, row_number() OVER (PARTITION BY factor, trade_date ORDER BY value)-1 AS rn, count(*) OVER (PARTITION BY factor, trade_date) AS n FROM lg), q AS (SELECT factor, trade_date, any_value(n) AS n, " + ", ".join(
     f"max(CASE WHEN rn=((n-1)*{i})//5 THEN value END) + (max(CASE WHEN rn=((n-1)*{i}+4)//5 THEN value END) - max(CASE WHEN rn=((n-1)*{i})//5 THEN value END)) * (max(((n-1)*{i})%5)/5.0::DOUBLE) AS q{i}" for i in range(1, 5)) + " FROM cnt GROUP BY ALL)"
-query("e05_quantile_returns", sql(f"WITH {LNG}, {QB} SELECT factor, trade_date, 1 + " + " + ".join(f"CASE WHEN round(value-q{i},10)>0 THEN 1 ELSE 0 END" for i in range(1, 5)) + " AS quantile, round(avg(ret),6) AS avg_return, count(*) AS count FROM lg JOIN q USING (factor, trade_date) WHERE n>=25 GROUP BY ALL", "bars"))(
-    lambda s, d: rounded(E.quantile_returns(lng(s, d), 5, 25), 6))
+query("e05_quantile_returns", sql(f"WITH {LNG}, {QB} SELECT factor, trade_date, 1 + " + " + ".join(f"CASE WHEN round(value-q{i},10)>0 THEN 1 ELSE 0 END" for i in range(1, 5)) + " AS quantile, round(avg(ret),6) AS avg_return, count(*) AS count FROM lg JOIN q USING (factor, trade_date) WHERE n>=25 AND factor<>'vol5' GROUP BY ALL", "bars"))(
+    lambda s, d: rounded(E.quantile_returns(E.to_long(panel(s, d), FACTORS[:2], "forward_return_5d"), 5, 25), 6))
 LS = f"""{LNG}, o AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY factor, trade_date ORDER BY value DESC, code) AS kt, row_number() OVER (PARTITION BY factor, trade_date ORDER BY value, code) AS kb FROM lg WINDOW g AS (PARTITION BY factor, trade_date)),
 ls AS (SELECT factor, trade_date, avg(CASE WHEN kt<=floor(n*0.2) THEN ret END) AS top, avg(CASE WHEN kb<=floor(n*0.2) THEN ret END) AS bottom FROM o WHERE n>=20 GROUP BY ALL), l2 AS (SELECT *, top-bottom AS long_short FROM ls)"""
 query("e06_long_short_daily", sql(f"WITH {LS} SELECT factor, trade_date, round(top,6) AS top, round(bottom,6) AS bottom, round(long_short,6) AS long_short FROM l2", "bars"))(lambda s, d: rounded(E.long_short(lng(s, d)), 6))
