@@ -109,6 +109,11 @@ def div(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def corr(a: str, b: str) -> Column:
+    """Pearson correlation, null without spread (the built-in raises there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b))))
+
+
 def band(x: Column, cuts: list[tuple[float, float]], otherwise: float, null: float | None = None,
          above: bool = False) -> Column:
     """Step score: the first ``(cut, score)`` with ``x < cut`` (``x > cut`` if ``above``)."""

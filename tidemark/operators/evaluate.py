@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.order_stats import quantile_bucket, share_ends, top_share, with_rank
 from tidemark.functions.stats import t_p_value
-from tidemark.functions.windows import CODE, DATE, UNB, close, div, lead
+from tidemark.functions.windows import CODE, DATE, UNB, close, corr, div, lead
 from tidemark.operators.relational import zscore
 from tidemark.session import checkpoint_dir
 from tidemark.sources.bars import day_index
@@ -60,7 +60,7 @@ def daily_ic(long: DataFrame, method: str = "spearman", min_rows: int = 10) -> D
         x = long.withColumns({"_a": F.col("value"), "_b": F.col("ret")})
     else:
         raise ValueError(f"unknown method {method!r}")
-    g = x.groupBy(*GRP).agg(F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("_c"),
+    g = x.groupBy(*GRP).agg(F.count(F.lit(1)).alias("n"), corr("_a", "_b").alias("_c"),
                             F.min("_a").alias("_a0"), F.max("_a").alias("_a1"), F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
     ok = (F.col("n") >= min_rows) & (F.col("_a0") < F.col("_a1")) & (F.col("_b0") < F.col("_b1"))
     return g.select(*GRP, "n", F.when(ok, F.col("_c")).alias("ic"))
@@ -160,8 +160,8 @@ def rolling_ic(long: DataFrame, lookback: int = 60, min_rows: int = 100) -> Data
     lo, hi = F.greatest(F.col("day_no") + 1, F.lit(lookback + 1)), F.least(F.col("day_no") + lookback, F.col("last"))
     x = x.where(lo <= hi).select("factor", "value", "ret", F.explode(F.sequence(lo, hi)).alias("_w"))
     x = with_rank(with_rank(x, ["factor", "_w"], "value", "_a"), ["factor", "_w"], "ret", "_b")
-    g = x.groupBy("factor", "_w").agg(F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("_c"))
-    ic = F.when(F.col("n") >= min_rows, F.coalesce(F.nanvl("_c", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    g = x.groupBy("factor", "_w").agg(F.count(F.lit(1)).alias("n"), corr("_a", "_b").alias("_c"))
+    ic = F.when(F.col("n") >= min_rows, F.coalesce("_c", F.lit(0.0))).otherwise(0.0)
     return g.select("factor", F.col("_w").alias("day_no"), ic.alias("rolling_ic")).join(days, "day_no").select("factor", DATE, "rolling_ic")
 
 

@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import CODE, DATE, close, div, lag, rmax, rmean, rmin, rstd, vol, wc
+from tidemark.functions.windows import CODE, DATE, close, corr, div, lag, rmax, rmean, rmin, rstd, vol, wc
 from tidemark.operators.evaluate import daily_ic, to_long
 from tidemark.operators.relational import rank_label
 from tidemark.operators.technical import macd, rsi
@@ -76,7 +76,7 @@ def vif(panel: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Variance inflation per column: diagonal of the inverse correlation matrix (columns x columns, driver-sized)."""
     full = panel.dropna(subset=list(cols))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    row = full.agg(*[F.corr(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in pairs]).first() if pairs else {}
+    row = full.agg(*[corr(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in pairs]).first() if pairs else {}
     m = np.eye(len(cols))
     for i, j in pairs:
         m[i, j] = m[j, i] = row[f"c_{i}_{j}"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.order_stats import with_rank
 from tidemark.functions.windows import (
-    CODE, DATE, UNB, asof_forward, close, div, lag, latest_rows, wc, wc_desc, with_runs)
+    CODE, DATE, UNB, asof_forward, close, corr, div, lag, latest_rows, wc, wc_desc, with_runs)
 
 
 def with_daily(panel: DataFrame, aggs: Mapping[str, Column], by: Sequence[str] = (DATE,)) -> DataFrame:
@@ -80,7 +80,7 @@ def stock_index_stats(bars: DataFrame, index: DataFrame | None = None) -> DataFr
     ir = index.select(DATE, (div("index_close", F.lag("index_close").over(Window.orderBy(DATE))) - 1).alias("_ri"))
     sr = bars.select(CODE, DATE, (div(close(), lag("close")) - 1).alias("_rs"))
     x = sr.join(ir, DATE).where(F.col("_rs").isNotNull() & F.col("_ri").isNotNull())
-    return x.groupBy(CODE).agg(F.count(F.lit(1)).alias("n"), F.corr("_rs", "_ri").alias("corr"),
+    return x.groupBy(CODE).agg(F.count(F.lit(1)).alias("n"), corr("_rs", "_ri").alias("corr"),
                                div(F.covar_samp("_rs", "_ri"), F.var_samp("_ri")).alias("beta"))
 
 

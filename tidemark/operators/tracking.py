@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import CODE, DATE, UNB, close, div, lag, lead, wc
+from tidemark.functions.windows import CODE, DATE, UNB, close, corr, div, lag, lead, wc
 from tidemark.operators.relational import longest_runs, range_aggregate
 from tidemark.sources.bars import day_index
 
@@ -145,7 +145,7 @@ def stock_vs_index(bars: DataFrame, index: DataFrame | None = None) -> DataFrame
         index = bars.groupBy(DATE).agg(F.avg("close").alias("index_close"))
     ir = index.select(DATE, (div("index_close", F.lag("index_close").over(Window.orderBy(DATE))) - 1).alias("_ri"))
     x = bars.select(CODE, DATE, (div(close(), lag("close")) - 1).alias("_rs")).join(ir, DATE).where("_rs is not null and _ri is not null")
-    g = x.groupBy(CODE).agg(F.corr("_rs", "_ri").alias("corr"), div(F.covar_samp("_rs", "_ri"), F.var_samp("_ri")).alias("beta"),
+    g = x.groupBy(CODE).agg(corr("_rs", "_ri").alias("corr"), div(F.covar_samp("_rs", "_ri"), F.var_samp("_ri")).alias("beta"),
                             F.sum("_rs").alias("stock_return"), F.sum("_ri").alias("index_return"))
     e = F.col("stock_return") - F.col("index_return")
     return g.withColumns({"excess": e, "label": F.when(e > 0, "outperform").otherwise("underperform")})
