@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import CODE, DATE, close, corr, div, lag, rmax, rmean, rmin, rstd, vol, wc
-from tidemark.operators.evaluate import daily_ic, to_long
+from tidemark.operators.evaluate import daily_ic, materialize, to_long
 from tidemark.operators.relational import rank_label
 from tidemark.operators.technical import macd, rsi
 from tidemark.sources.bars import day_index
@@ -107,7 +107,7 @@ def train_ranker(panel: DataFrame, cols: Sequence[str], ret: str, folds: int = 3
                  seed: int = 7) -> tuple[PipelineModel, list[float | None]]:
     """Boosted trees on the per-date rank target; time-ordered folds score by mean daily rank IC."""
     data = rank_label(panel.where(F.col(ret).isNotNull()).fillna(0.0, list(cols)), ret)
-    data = time_folds(data, folds)
+    data = materialize(time_folds(data.select(CODE, DATE, ret, "label", *cols), folds))  # every boosting round reads it
     stages = [VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="keep"),
               GBTRegressor(featuresCol="_features", labelCol="label", predictionCol="prediction", maxDepth=depth, maxIter=rounds,
                            seed=seed, subsamplingRate=0.8)]

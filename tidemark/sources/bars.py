@@ -169,9 +169,10 @@ def bars_from_trades(trades: DataFrame, order: Sequence[str]) -> DataFrame:
 
     First and last legs follow ``order``, so the result does not depend on how
     rows arrive.  All aggregates combine map-side: a hot code costs one row per
-    task and day in the shuffle.
+    task and day in the shuffle.  One numeric or date order column keeps the
+    aggregation hash-based; several become a struct, which Spark sorts.
     """
-    key = F.struct(*order)
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return trades.groupBy(CODE, DATE).agg(
         F.min_by("open", key).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", key).alias("close"), F.sum("volume").cast("long").alias("volume"),
