@@ -219,19 +219,20 @@ def run_statistics(runs: DataFrame, by: str) -> DataFrame:
                                 (F.count_if(F.col("ok")) / F.count(F.lit(1))).alias("success_rate"), F.max("ts").alias("last_run"))
 
 
-def recent_duplicates(items: DataFrame, content: str, ts: str = "ts", hours: int = 24) -> DataFrame:
+def recent_duplicates(items: DataFrame, content: str, ts: str = "ts", hours: int = 24, slot: int = 600) -> DataFrame:
     """Items whose content already occurred within the last hours (previous occurrence by hash).
 
-    A content repeated very often is one group; each copy only needs the one
-    before it, so groups are cut by day and the newest copy of the previous day
-    is carried over.
+    A content repeated very often is one hot group, so its copies are cut into
+    time slots; the copy before a slot's first one comes from a table of slots,
+    which time bounds.
     """
-    x = items.withColumns({"_h": F.xxhash64(content), "_day": F.to_date(ts)})
-    lastday = x.groupBy("_h", "_day").agg(F.max(ts).alias("_last")).select("_h", F.date_add("_day", 1).alias("_day"), "_last")
-    w = Window.partitionBy("_h", "_day").orderBy(ts)
-    x = x.withColumn("_p", F.lag(ts).over(w)).join(lastday, ["_h", "_day"], "left")
-    prev = F.coalesce("_p", "_last")
-    return x.withColumn("is_duplicate", F.coalesce((F.col(ts).cast("timestamp").cast("double") - prev.cast("timestamp").cast("double")) <= hours * 3600, F.lit(False))).drop("_h", "_day", "_p", "_last")
+    secs = F.col(ts).cast("timestamp").cast("double")
+    x = items.withColumns({"_h": F.xxhash64(content), "_t": secs}).withColumn("_slot", F.floor(F.col("_t") / slot))
+    slots = x.groupBy("_h", "_slot").agg(F.max("_t").alias("_last"))
+    slots = slots.select("_h", "_slot", F.lag("_last").over(Window.partitionBy("_h").orderBy("_slot")).alias("_before"))
+    x = x.withColumn("_p", F.lag("_t").over(Window.partitionBy("_h", "_slot").orderBy("_t"))).join(slots, ["_h", "_slot"])
+    age = F.col("_t") - F.coalesce("_p", "_before")
+    return x.withColumn("is_duplicate", F.coalesce(age <= hours * 3600, F.lit(False))).drop("_h", "_t", "_slot", "_p", "_before")
 
 
 def compare_sources(a: DataFrame, b: DataFrame, cols: Sequence[str] = ("open", "high", "low", "close", "volume"), tol: float = 0.01) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import CODE, DATE, UNB, close, corr, div, lag, lead, wc
-from tidemark.operators.relational import longest_runs, range_aggregate
+from tidemark.operators.relational import entry_exit, longest_runs, range_aggregate
 from tidemark.sources.bars import day_index
 
 PERIODS = (1, 4, 7, 11, 21)
@@ -219,3 +219,23 @@ def market_summary(bars: DataFrame, flat: float = 0.5) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(c > flat).alias("rising"), F.count_if(c < -flat).alias("falling"),
         F.count_if(F.abs(c) <= flat).alias("flat"), F.count_if(c >= 9.9).alias("limit_up"), F.count_if(c <= -9.9).alias("limit_down"),
         F.sum("amount").alias("amount"), (F.count(c) / F.count(F.lit(1))).alias("completeness"))
+
+
+def flow_performance(picks: DataFrame, bars: DataFrame, hold_days: int = 10) -> DataFrame:
+    """Entry, exit and return of each flow's picks, summed up by flow; ``picks``: ``flow, code, pick_date``."""
+    x = entry_exit(picks, bars, hold_days).withColumn("_r", div(F.col("exit_price") - F.col("entry_price"), "entry_price") * 100)
+    r = F.col("_r")
+    return x.groupBy("flow").agg(F.count(F.lit(1)).alias("positions"), F.count_if("is_open").alias("open"), F.avg(r).alias("avg_return"),
+                                 div(F.count_if(r > 0), F.count(r)).alias("win_rate"), F.max(r).alias("best"), F.min(r).alias("worst"))
+
+
+# Grade per average return (%).
+GRADES = [(5.0, "excellent"), (2.0, "good"), (0.0, "fair")]
+
+
+def performance_grade(stats: DataFrame, value: str) -> DataFrame:
+    out = None
+    for cut, name in GRADES:
+        cond = F.col(value) > cut
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return stats.withColumn("grade", out.otherwise("poor"))

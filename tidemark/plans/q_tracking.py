@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import lag
+from tidemark.functions.windows import lag, lead
 from tidemark.operators import market as M
 from tidemark.operators import risk as Q
 from tidemark.operators import tracking as R
@@ -90,3 +90,31 @@ query("q05_position_limits", sql("WITH t AS (SELECT code, abs(acctbal) AS value,
     lambda s, d: rounded(Q.position_limits(I.stocks(s, d).select("code", F.abs("acctbal").alias("value")), 0.015, (0.005, 0.012)), 6))
 query("q06_stress", sql("WITH p AS (SELECT abs(acctbal) AS v, grade_no/5 AS b FROM stocks), s AS (SELECT * FROM (VALUES ('crash',-0.2::DOUBLE),('dip',-0.05::DOUBLE),('rally',0.1::DOUBLE)) t(scenario, shock)) SELECT scenario, shock, round(sum(v),2) AS value, round(sum(v*(1+shock*b)),3) AS stressed_value FROM p, s GROUP BY ALL", "stocks"))(
     lambda s, d: Q.stress(I.stocks(s, d).select(F.abs("acctbal").alias("value"), (F.col("grade_no") / 5).alias("beta")), {"crash": -0.2, "dip": -0.05, "rally": 0.1}).select("scenario", "shock", F.round("value", 2).alias("value"), F.round("stressed_value", 3).alias("stressed_value")))
+
+
+def flow_picks(s, d):
+    e = I.events_table(s, d)
+    return e.select(F.col("kind").alias("flow"), "code", F.col("publish_date").alias("pick_date")).distinct()
+
+
+query("r04_flow_performance", sql("""WITH p AS (SELECT DISTINCT kind AS flow, code, publish_date AS pick_date FROM ev), e AS (SELECT p.flow, p.code, p.pick_date, min(b.trade_date) AS ed FROM p LEFT JOIN bars b ON b.code=p.code AND b.trade_date>=p.pick_date GROUP BY ALL),
+x AS (SELECT p.flow, p.code, p.pick_date, min(b.trade_date) AS xd FROM p LEFT JOIN bars b ON b.code=p.code AND b.trade_date>=p.pick_date+10 GROUP BY ALL), l AS (SELECT code, max(trade_date) AS ld FROM bars GROUP BY 1),
+r AS (SELECT e.flow, xd IS NULL AS o, (b2.close-b1.close)/b1.close*100 AS r FROM e JOIN x USING (flow, code, pick_date) LEFT JOIN l ON l.code=e.code LEFT JOIN bars b1 ON b1.code=e.code AND b1.trade_date=ed LEFT JOIN bars b2 ON b2.code=e.code AND b2.trade_date=coalesce(xd,ld))
+SELECT flow, count(*) AS positions, count(CASE WHEN o THEN 1 END) AS open, round(avg(r),6) AS avg_return, round(count(CASE WHEN r>0 THEN 1 END)/count(r)::DOUBLE,6) AS win_rate, round(max(r),6) AS best, round(min(r),6) AS worst FROM r GROUP BY 1""", "ev", "bars"))(
+    lambda s, d: rounded(R.flow_performance(flow_picks(s, d), I.bars(s, d)), 6))
+
+
+def trades(s, d):
+    b = I.bars(s, d)
+    x = b.select("code", F.col("trade_date").alias("entry_date"), lead("trade_date", 5).alias("exit_date"), ((lead("close", 5) / F.col("close") - 1) * 100).alias("pnl_pct"),
+                 F.pmod("volume", F.lit(100)).cast("double").alias("selection_score"))
+    return x.where("exit_date is not null")
+
+
+query("r14_attribution", sql("""WITH ix AS (SELECT trade_date, avg(close) AS c FROM bars GROUP BY 1), t AS (SELECT code, trade_date AS entry_date, lead(trade_date,5) OVER w AS exit_date, (lead(close,5) OVER w/close-1)*100 AS pnl, volume%100 AS sc FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
+m AS (SELECT t.*, (b.c/a.c-1)*100 AS mp FROM t JOIN ix a ON a.trade_date=entry_date JOIN ix b ON b.trade_date=exit_date WHERE exit_date IS NOT NULL), p AS (SELECT *, (pnl-mp)*sc/100 AS sp, pnl-mp-(pnl-mp)*sc/100 AS tp FROM m)
+SELECT code, entry_date, round(mp,6) AS market_part, round(sp,6) AS selection_part, round(tp,6) AS timing_part FROM p""", "bars"))(
+    lambda s, d: rounded(R.attribution(trades(s, d), I.bars(s, d).groupBy("trade_date").agg(F.avg("close").alias("index_close"))).select(
+        "code", "entry_date", "market_part", "selection_part", "timing_part"), 6))
+query("r19_performance_grade", sql("WITH a AS (SELECT code, avg(pct_chg) AS m FROM chg GROUP BY 1) SELECT code, CASE WHEN m>5 THEN 'excellent' WHEN m>2 THEN 'good' WHEN m>0 THEN 'fair' ELSE 'poor' END AS grade FROM a", "chg"))(
+    lambda s, d: R.performance_grade(with_change(I.bars(s, d)).groupBy("code").agg(F.avg("pct_chg").alias("m")), "m").select("code", "grade"))
