@@ -218,3 +218,31 @@ def simple_score(bars: DataFrame) -> DataFrame:
     mom = F.when(n < 2, 15.0).when(ch > 0, F.least(F.lit(30.0), ch * 3)).otherwise(F.greatest(F.lit(0.0), 15 + ch))
     volume = F.when((n >= 20) & (F.col("_av") > 0), F.least(F.lit(20.0), F.col("_v") / F.col("_av") * 10)).otherwise(10.0)
     return g.select(CODE, "close", F.greatest(F.lit(0.0), F.least(F.lit(100.0), trend + mom + volume)).alias("score"))
+
+
+def snapshot_score(bars: DataFrame) -> DataFrame:
+    """Grade and score from the newest change alone, where no precomputed score exists; needs ``pct_chg``."""
+    x = latest_rows(bars, DATE, "close", "pct_chg").where("pct_chg is not null")
+    c = F.col("pct_chg")
+    return x.withColumns({
+        "grade": F.when(c > 3, "S").when(c > 1, "A").when(c > 0, "B").otherwise("C"),
+        "enhanced_score": F.when(c > 0, 60 + c * 2).otherwise(50 + c), "trend": F.when(c > 0, "up").otherwise("down")})
+
+
+def end_of_day_select(quotes: DataFrame, change: tuple[float, float] = (3.0, 5.0), ratio: tuple[float, float] = (1.0, 5.0),
+                      cap: tuple[float, float] = (50.0, 200.0), top: int | None = None) -> DataFrame:
+    """Late-session screen and rank: closest to a 3.5 % change, a ratio of 2.5 and a cap of 100.
+
+    ``quotes``: ``code, price_change, volume_ratio, market_cap`` and optionally ``above_ma``.
+    """
+    x = quotes.where(F.col("price_change").between(*change) & F.col("volume_ratio").between(*ratio) & F.col("market_cap").between(*cap))
+    x = x.where("above_ma") if "above_ma" in x.columns else x
+    s = ((100 - F.abs(F.col("volume_ratio") - 2.5) * 20) * 0.4 + (100 - F.abs(F.col("price_change") - 3.5) * 20) * 0.4
+         + (100 - F.abs(F.col("market_cap") - 100) * 0.5) * 0.2)
+    x = x.withColumn("total_score", F.round(s, 9))
+    return top_n(x, "total_score", top) if top else x
+
+
+def component_total(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """Weighted total of component scores; a missing component counts 0."""
+    return df.withColumn("total_score", sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0)))

@@ -94,3 +94,10 @@ query("m40_limit_up_grade", sql(f"WITH {QT}, s AS (SELECT *, CASE WHEN srt>=5 AN
 query("m41_simple_score", sql("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM bars), g AS (SELECT code, max(CASE WHEN rn=1 THEN close END) AS c, max(CASE WHEN rn=2 THEN close END) AS p, max(CASE WHEN rn=1 THEN volume END) AS v, avg(volume) AS av, avg(CASE WHEN rn<=5 THEN close END) AS a, avg(CASE WHEN rn<=10 THEN close END) AS b, avg(close) AS d FROM r WHERE rn<=20 GROUP BY 1)
 SELECT code, round(CAST(greatest(0,least(100, CASE WHEN c>a THEN 20 ELSE 0 END+CASE WHEN c>b THEN 15 ELSE 0 END+CASE WHEN c>d THEN 15 ELSE 0 END+CASE WHEN c>p THEN least(30,(c-p)/p*300) ELSE greatest(0,15+(c-p)/p*100) END+least(20,v/av*10))) AS DOUBLE),4) AS score FROM g""", "bars"))(
     lambda s, d: rounded(M.simple_score(I.bars(s, d)).select("code", "score")))
+query("m03_snapshot_score", sql("SELECT code, trade_date, CASE WHEN pct_chg>3 THEN 'S' WHEN pct_chg>1 THEN 'A' WHEN pct_chg>0 THEN 'B' ELSE 'C' END AS grade, round(CASE WHEN pct_chg>0 THEN 60+pct_chg*2 ELSE 50+pct_chg END,4) AS enhanced_score, CASE WHEN pct_chg>0 THEN 'up' ELSE 'down' END AS trend FROM lastbar WHERE pct_chg IS NOT NULL", "snap"))(
+    lambda s, d: rounded(M.snapshot_score(with_change(I.bars(s, d))).select("code", "trade_date", "grade", "enhanced_score", "trend")))
+query("m17_end_of_day_select", sql("WITH q AS (SELECT code, pct_chg AS p, volume/10 AS v, abs(acctbal)/40 AS c FROM snap) SELECT code, round((100-abs(v-2.5)*20)*0.4+(100-abs(p-3.5)*20)*0.4+(100-abs(c-100)*0.5)*0.2,4) AS total_score FROM q WHERE p BETWEEN -3 AND 8 AND v BETWEEN 1 AND 5 AND c BETWEEN 10 AND 230", "snap"))(
+    lambda s, d: rounded(M.end_of_day_select(I.snapshot(s, d).select("code", F.col("pct_chg").alias("price_change"), (F.col("volume") / 10).alias("volume_ratio"), (F.abs("acctbal") / 40).alias("market_cap")),
+                                             (-3.0, 8.0), (1.0, 5.0), (10.0, 230.0)).select("code", "total_score")))
+query("m07_component_total", sql("SELECT code, round(coalesce(roe,0)*0.4+coalesce(pb,0)*0.3+coalesce(pe_ttm,0)*0.2+grade_no*0.1,6) AS total_score FROM stocks", "stocks"))(
+    lambda s, d: rounded(M.component_total(I.stocks(s, d), {"roe": 0.4, "pb": 0.3, "pe_ttm": 0.2, "grade_no": 0.1}).select("code", "total_score"), 6))
