@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER_ALNUM, raw
 
-#: Least share of a template's words.
-LEAST = 0.75
+#: Least share of a template's words; a template of fewer than ``SHORT`` words must be there in full, as each word tells licenses apart.
+LEAST, SHORT = 0.75, 15
 #: The usual short statements and the openings of the licenses' own notices.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
@@ -85,8 +85,9 @@ class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words_of(text.encode("utf-8"))
         n = len(self.words)
-        # if none of these places is met, at most LEAST of the words less one can be
-        places = sorted(range(n), key=lambda i: (-len(self.words[i]), i))[:n - int(-(-n * LEAST // 1)) + 1]
+        self.least = n if n < SHORT else int(-(-n * LEAST // 1))
+        # if none of these places is met, fewer words than that can be
+        places = sorted(range(n), key=lambda i: (-len(self.words[i]), i))[:n - self.least + 1]
         self.keys: dict[bytes, list[int]] = {}
         for i in places:
             self.keys.setdefault(self.words[i], []).append(i)
@@ -101,7 +102,7 @@ class Template:
                 continue
             lo = max(0, s - self.slack, done)
             got = align(words[lo:s + n + self.slack], self.words)
-            if len(got) >= LEAST * n and got[-1][0] - got[0][0] < n + self.slack:
+            if len(got) >= self.least and got[-1][0] - got[0][0] < n + self.slack:
                 done = lo + got[-1][0] + 1
                 yield len(got), lo + got[0][0], done
 

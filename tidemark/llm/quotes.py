@@ -57,18 +57,17 @@ def _units(parts: DataFrame) -> DataFrame:
 
 def link(messages: DataFrame) -> DataFrame:
     """One row per message: text without quotes, its quotes and origins, parent, thread (its first turn) and level."""
-    messages = messages.select("conv_id", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct().withColumn("msg", F.md5(F.concat_ws("\u0001", F.coalesce("role", F.lit("")), "text")))
+    messages = messages.select("conv_id", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct().withColumn("msg", F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in ("conv_id", "turn", "role", "text")])))
     parts = stored(passages(messages), "passages")
     units = _units(parts)
     origin = units.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     met = units.where("level > 0").join(origin, ["conv_id", "hash"]).where("origin < turn")
     of_run = met.groupBy("conv_id", "turn", "msg", "run", "level").agg(F.max(F.struct("whole", "chars", "origin")).alias("m"), F.sum(F.when(~F.col("whole"), F.col("chars"))).alias("line_chars"))
     of_run = of_run.select("conv_id", "turn", "msg", "run", "level", F.col("m.origin").alias("origin"), F.greatest("m.chars", F.coalesce("line_chars", F.lit(0))).alias("chars"))
-    linked = (of_run.groupBy("conv_id", "turn", "msg").agg(F.count(F.lit(1)).alias("n_linked"), F.min("level").alias("outer"), F.max(F.struct((-F.col("level")).alias("l"), "chars", "origin")).alias("best"), F.sort_array(F.collect_set("origin")).alias("origins")))
-    own = (parts.groupBy("conv_id", "turn", "msg").agg(F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("run", "body")))).alias("l"), F.count(F.when(F.col("level") > 0, 1)).alias("n_quotes"), F.max("level").alias("max_level"))
-           .select("conv_id", "turn", "msg", F.trim(F.array_join(F.transform("l", lambda x: x["body"]), "\n")).alias("reply"), "n_quotes", "max_level"))
-    same = ["conv_id", "turn", "msg"]
-    rows = stored(messages.select("conv_id", "turn", "role", "msg").join(own, same, "left").join(linked, same, "left")
+    linked = (of_run.groupBy("msg").agg(F.count(F.lit(1)).alias("n_linked"), F.min("level").alias("outer"), F.max(F.struct((-F.col("level")).alias("l"), "chars", "origin")).alias("best"), F.sort_array(F.collect_set("origin")).alias("origins")))
+    own = (parts.groupBy("msg").agg(F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("run", "body")))).alias("l"), F.count(F.when(F.col("level") > 0, 1)).alias("n_quotes"), F.max("level").alias("max_level"))
+           .select("msg", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["body"]), "\n"), r"^\s+|\s+$", "").alias("reply"), "n_quotes", "max_level"))
+    rows = stored(messages.select("conv_id", "turn", "role", "msg").join(own, "msg", "left").join(linked, "msg", "left")
                   .select("conv_id", "turn", "role", "msg", F.coalesce("reply", F.lit("")).alias("text"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
                           F.coalesce("max_level", F.lit(0)).alias("quote_level"), F.coalesce("origins", F.array().cast("array<bigint>")).alias("origins"), F.col("best.origin").alias("parent_turn")), "linked")
     threads = _threads(rows.groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("parent")))
