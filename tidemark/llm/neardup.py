@@ -3,7 +3,9 @@
 1. One pass gives each document the number of its shingles, a hash of the whole set, band keys of its MinHash samples,
    and an odd sketch: the samples folded into a parity bitmap. Documents of equal sets become one node.
 2. Within a band bucket every node is paired with the bucket's smallest node only. Pairs whose sketches differ in few
-   bits (XOR, population count) are checked on their whole sets; what links is joined to components.
+   bits (XOR, population count) are checked on their whole sets; what links is joined to components. A second odd sketch
+   folds the whole set: it cannot differ in more bits than the sets in elements, which is a sharp bound on short texts,
+   where samples are a blunt one.
 3. Buckets that still hold several components are compared in full across components, sketch against sketch, in blocks
    of bounded size; only pairs that pass are written and checked. So no link between components is lost, and large
    groups of copies never become all their pairs.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LOWER_BLANK, U64, WordHashes, mixed, raw, shingles, stored
 from tidemark.llm.graph import components
 
-BANDS, BAND_ROWS, SKETCH_BITS = 32, 4, 512
+BANDS, BAND_ROWS, SKETCH_BITS, WHOLE_BITS = 32, 4, 512, 1024
 SAMPLES = BANDS * BAND_ROWS
 #: Least similarity, in hundredths.
 LEAST = 75
@@ -79,12 +81,17 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(count & 1, axis=1).view("<u8")
 
 
+def whole_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set: two of them differ in no more bits than the sets in elements."""
+    return np.packbits((np.bincount((s >> U64(40)).astype(np.int64) % WHOLE_BITS, minlength=WHOLE_BITS) & 1).astype(np.uint8)).view("<i8")
+
+
 def set_of(text: bytes, hashes: WordHashes) -> np.ndarray:
     return shingles(hashes.of(text.translate(LOWER_BLANK).split()))
 
 
-SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>"
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>, whole array<long>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +103,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, sketch = [None] * len(sets), [None] * len(sets)
         for i, b, s in zip(full, band_keys(samples).view(np.int64), odd_sketch(samples).view(np.int64)):
             bands[i], sketch[i] = b, s
-        cols = [ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], bands, sketch]
+        cols = [ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], bands, sketch, [whole_sketch(s) if len(s) else None for s in sets]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SIGNED.types)], schema=_SIGNED)
 
     for batch in batches:
@@ -132,13 +139,14 @@ def _compare(table: pa.Table) -> pa.Table:
     """A block of a bucket: pairs from different components whose sketches and sizes allow the least similarity."""
     bound = sketch_bound()
     node, comp, size, chunk = (table[c].to_numpy() for c in ("node", "component", "n_shingles", "chunk"))
-    sketch = np.array(table["sketch"].to_pylist(), dtype=np.int64).view(U64)
+    sketch, whole = (np.array(table[c].to_pylist(), dtype=np.int64).view(U64) for c in ("sketch", "whole"))
     left = np.flatnonzero(chunk == chunk.min())
     right = np.flatnonzero(chunk == chunk.max())
     found_a, found_b = [], []
     for i in left:
         differ = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         ok = (differ <= bound) & (comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= LEAST * np.maximum(size[right], size[i]))
+        ok[ok] = (100 + LEAST) * np.bitwise_count(whole[right[ok]] ^ whole[i]).sum(axis=1, dtype=np.int64) <= (100 - LEAST) * (size[right[ok]] + size[i])
         ok &= (node[right] > node[i]) | (chunk[right] != chunk[i])
         found_a.append(np.full(ok.sum(), node[i])), found_b.append(node[right][ok])
     a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -153,10 +161,10 @@ def pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of candidate ``a, b``, those that pass sketches, sizes and the check on whole texts; stored."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("whole").alias(f"w_{x}"))
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, a: s + a)
     close = stored(pairs.join(side("a"), "a").join(side("b"), "b")
-                   .where(100 * F.least("n_a", "n_b") >= LEAST * F.greatest("n_a", "n_b")).where(differ <= sketch_bound()).select("a", "b"), "close")
+                   .where(100 * F.least("n_a", "n_b") >= LEAST * F.greatest("n_a", "n_b")).where((100 + LEAST) * differ("w_a", "w_b") <= (100 - LEAST) * (F.col("n_a") + F.col("n_b"))).where(differ("s_a", "s_b") <= sketch_bound()).select("a", "b"), "close")
     need = stored(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
     texts = stored(pick(docs, need, "left_semi"), "texts")
     both = (close.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -169,7 +177,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_sign, SIGNED), "signed")
     classes = (signed.where("class is not null and doc_id is not null").groupBy("class")
-               .agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("s")))
+               .agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bands", "sketch", "whole"), "doc_id").alias("s")))
     nodes = stored(classes.select("class", "node", "s.*"), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = stored(bands.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
@@ -183,8 +191,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # members beyond one block: each meets every block of its bucket
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     cut = (placed.join(mixed_, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-           .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(nodes.select("node", "n_shingles", "sketch"), "node")
-           .select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "n_shingles", "sketch"))
+           .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(nodes.select("node", "n_shingles", "sketch", "whole"), "node")
+           .select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "n_shingles", "sketch", "whole"))
     second = cut.groupBy("band", "i", "j").applyInArrow(_compare, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = _linked(docs, nodes, second)
     if not more.isEmpty():
