@@ -33,6 +33,10 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = regex.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Bounds of a block of documents, in characters of text.
 BLOCK_MIN, BLOCK_MAX = 1 << 17, 1 << 23
+#: Buckets of words at most; their rows are packed, and more buckets than a block has words would undo that.
+BUCKETS = 4096
+#: Ends of words that leave the bucket as it is, so that forms of one word meet and share their pre-tokens.
+ENDS = b" .,;:!?#$%&*)\"'"
 #: Words an encoding task remembers; beyond that it starts anew, so memory is bounded.
 REMEMBERED = 1 << 19
 
@@ -104,7 +108,7 @@ def _blocks(chars: int, buckets: int):
         def flush() -> pa.RecordBatch:
             nonlocal number, size
             words = [w.encode("utf-8") for w in seen]
-            bucket = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.int64, count=len(words)) % buckets
+            bucket = np.fromiter((xxhash.xxh32_intdigest(w.rstrip(ENDS)) for w in words), dtype=np.int64, count=len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
             # positions are stored as places in the order by bucket, in which the ids come back
             place = np.empty(len(words), dtype=np.uint32)
@@ -146,6 +150,19 @@ def _encode(ranks_of, pattern: str):
         ranks, split = ranks_of.value[1], regex.compile(pattern)
         squeeze = zstandard.ZstdCompressor(level=1)
         known: dict[bytes, bytes] = {}
+        parts: dict[str, bytes] = {}
+
+        def encoded(word: bytes) -> bytes:
+            out = []
+            for m in split.findall(word.decode("utf-8")):
+                got = parts.get(m)
+                if got is None:
+                    if len(parts) >= REMEMBERED:
+                        parts.clear()
+                    got = parts[m] = _bytes(merge(m.encode("utf-8"), ranks))
+                out.append(got)
+            return b"".join(out)
+
         for batch in batches:
             rows = []
             for key, block, payload, sizes in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
@@ -159,7 +176,7 @@ def _encode(ranks_of, pattern: str):
                     if got is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        got = known[w] = _bytes([x for m in split.findall(w.decode("utf-8")) for x in merge(m.encode("utf-8"), ranks)])
+                        got = known[w] = encoded(w)
                     out.append(got)
                 rows.append((-1 - block, key, squeeze.compress(b"".join(out)), _bytes([len(x) for x in out])))
             if rows:
@@ -230,6 +247,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digest: bool
     n = partitions(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, ranks))
-    packed = docs.mapInArrow(_blocks(min(max(chars // (3 * n), BLOCK_MIN), BLOCK_MAX), 4 * n), PACKED).repartition(n, "key")
+    packed = docs.mapInArrow(_blocks(min(max(chars // (3 * n), BLOCK_MIN), BLOCK_MAX), min(n, BUCKETS)), PACKED).repartition(n, "key")
     ids = packed.mapInArrow(_encode(shared, pattern), IDS)
     return packed.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(_assemble(shared, digest), DIGESTS if digest else TOKENS)
