@@ -92,6 +92,20 @@ def _bytes(values: list[int]) -> bytes:
     return np.asarray(values, dtype="<u4").tobytes()
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.asarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _edges(sizes: bytes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(_unpacked(sizes), dtype=np.int64)])
+
+
 PACKED = "key long, block long, docs array<long>, payload binary, sizes binary"
 _PACKED = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("payload", pa.binary()), ("sizes", pa.binary())])
 
@@ -114,12 +128,11 @@ def _blocks(chars: int, buckets: int):
             place = np.empty(len(words), dtype=np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
             flat = place[np.concatenate(codes)] if codes and len(words) else np.empty(0, np.uint32)
-            planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-            rows = [(-1 - number, number, [x if x is not None else 0 for x in ids], squeeze.compress(planes), _bytes([len(c) for c in codes]) + bytes(missing))]
+            rows = [(-1 - number, number, [x if x is not None else 0 for x in ids], _packed(flat), bytes(missing) + _packed([len(c) for c in codes]))]
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 group = [words[i] for i in order[edges[b]:edges[b + 1]]]
-                rows.append((int(b), number, None, squeeze.compress(b"".join(group)), _bytes([len(w) for w in group])))
+                rows.append((int(b), number, None, squeeze.compress(b"".join(group)), _packed([len(w) for w in group])))
             number += 1
             seen.clear(), ids.clear(), codes.clear(), missing.clear()
             size = 0
@@ -139,16 +152,10 @@ def _blocks(chars: int, buckets: int):
     return run
 
 
-def _cut(data: bytes, sizes: bytes) -> tuple[bytes, np.ndarray]:
-    n = np.frombuffer(sizes, dtype="<u4")
-    return zstandard.ZstdDecompressor().decompress(data), np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-
-
 def _encode(ranks_of, pattern: str):
     """Rows of words, all of a bucket in one task, to rows of ids for the words' block; each word is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, split = ranks_of.value[1], regex.compile(pattern)
-        squeeze = zstandard.ZstdCompressor(level=1)
         known: dict[bytes, bytes] = {}
         parts: dict[str, bytes] = {}
 
@@ -168,7 +175,7 @@ def _encode(ranks_of, pattern: str):
             for key, block, payload, sizes in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
                 if key < 0:
                     continue
-                text, edge = _cut(payload, sizes)
+                text, edge = zstandard.ZstdDecompressor().decompress(payload), _edges(sizes).tolist()
                 out = []
                 for i in range(len(edge) - 1):
                     w = text[edge[i]:edge[i + 1]]
@@ -178,7 +185,7 @@ def _encode(ranks_of, pattern: str):
                             known.clear()
                         got = known[w] = encoded(w)
                     out.append(got)
-                rows.append((-1 - block, key, squeeze.compress(b"".join(out)), _bytes([len(x) for x in out])))
+                rows.append((-1 - block, key, _packed(np.frombuffer(b"".join(out), dtype="<u4")), _packed([len(x) // 4 for x in out])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _IDS.types)], schema=_IDS)
     return run
@@ -201,14 +208,11 @@ def _assemble(ranks_of, digest: bool):
             token = _token_bytes(ranks_of)
             words: list[np.ndarray] = []
             for part in right.sort_by("bucket").select(["payload", "sizes"]).to_pylist():
-                data, edge = _cut(part["payload"], part["sizes"])
-                flat = np.frombuffer(data, dtype="<u4")
-                words += [flat[a:b] for a, b in zip((edge[:-1] // 4).tolist(), (edge[1:] // 4).tolist())]
+                flat, edge = _unpacked(part["payload"]), _edges(part["sizes"]).tolist()
+                words += [flat[a:b] for a, b in zip(edge, edge[1:])]
             row = left.select(["docs", "payload", "sizes"]).to_pylist()[0]
             n = len(row["docs"])
-            sizes, missing = np.frombuffer(row["sizes"][:4 * n], dtype="<u4"), row["sizes"][4 * n:]
-            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["payload"]), dtype=np.uint8)
-            codes = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+            missing, sizes, codes = row["sizes"][:n], _unpacked(row["sizes"][n:]), _unpacked(row["payload"])
             start = 0
             for doc, size, none in zip(row["docs"], sizes.tolist(), missing):
                 got = [words[c] for c in codes[start:start + size].tolist()]
