@@ -33,28 +33,60 @@ LABELLERS = [("symbols", "symbols", 0.12, 0.03), ("marked_words", "marked", 0.5,
 
 
 class Shapes(dict):
-    """Per word: hash of the word, hash of its shape, and what the labellers count; forgets at a fixed size."""
+    """Word to its number; ``hash`` and ``kind`` by number. Words of a kind have one shape and count alike.
 
-    def __missing__(self, word: str) -> tuple:
-        if len(self) >= 1 << 19:
-            self.clear()
-        letters = sum(map(str.isalpha, word))
-        upper = sum(map(str.isupper, word))
-        odd = sum(1 for c in word if not c.isalnum() and c not in ".,;:?!'\"()-|")
-        shape = "".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:8] + ("=" if len(set(word)) < len(word) / 3 else "")
-        value = self[word] = (xxhash.xxh64_intdigest(word.lower()), xxhash.xxh64_intdigest(shape), letters, upper, odd, word.count("!"), word.count("|"), odd > 1, len(word))
-        return value
+    Forgets everything at a fixed size, so memory is bounded.
+    """
+
+    LIMIT, KINDS = 1 << 18, 1 << 13
+
+    def __init__(self):
+        super().__init__()
+        self.hash, self.kind = np.zeros(self.LIMIT, dtype=U64), np.zeros(self.LIMIT, dtype=np.int64)
+        self.kinds: dict[tuple, int] = {}
+        self.shape, self.counts = np.zeros(self.KINDS, dtype=U64), np.zeros((self.KINDS, 7))
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        n = len(word)
+        same = n > 6 and len(set(word)) < n / 3
+        if word.isalpha() and word[1:].islower():
+            key = ("a" if word[0].islower() else "Aa", same, n, 0 if word[0].islower() else 1, 0, 0, 0, False, n)
+        else:
+            odd = sum(1 for c in word if not c.isalnum() and c not in ".,;:?!'\"()-|")
+            key = ("".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:8], same,
+                   sum(map(str.isalpha, word)), sum(map(str.isupper, word)), odd, word.count("!"), word.count("|"), odd > 1, n)
+        kind = self.kinds.get(key)
+        if kind is None:
+            kind = self.kinds[key] = len(self.kinds)
+            self.shape[kind] = xxhash.xxh64_intdigest(f"{key[0]}={key[1]}")
+            self.counts[kind] = key[2:]
+        self.hash[at], self.kind[at] = xxhash.xxh64_intdigest(word.lower()), kind
+        return at
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and shapes of the words, and the sums of what is counted."""
+        hashes, shapes, total, step = [], [], np.zeros(7), self.KINDS // 2
+        for i in range(0, len(words), step):
+            piece = words[i:i + step]
+            if len(self) + len(piece) > self.LIMIT or len(self.kinds) + len(piece) > self.KINDS:
+                self.clear(), self.kinds.clear()
+            at = np.fromiter(map(self.__getitem__, piece), dtype=np.int64, count=len(piece))
+            kind = self.kind[at]
+            hashes.append(self.hash[at]), shapes.append(self.shape[kind])
+            total += np.bincount(kind, minlength=len(self.kinds)) @ self.counts[:len(self.kinds)]
+        return np.concatenate(hashes), np.concatenate(shapes), total
 
 
 def measures(text: str, shapes: Shapes) -> tuple[dict[str, float], np.ndarray]:
     """What the labellers look at, and the words' (hash, shape) pairs."""
     words = text.split()
-    rows = np.array([shapes[w] for w in words], dtype=U64).reshape(-1, 9)
+    hashes, shape, total = shapes.rows(words)
     n = len(words)
-    letters, upper, odd, exclaim, bars, marked, chars = rows[:, 2:].sum(axis=0, dtype=np.int64).tolist()
-    lines = [line for line in text.split("\n") if line.strip()]
-    return {"symbols": odd / max(1, chars), "marked": marked / n, "upper": upper / max(1, letters), "exclaim": exclaim / n, "same": float((rows[1:, 0] == rows[:-1, 0]).sum()) / n,
-            "poverty": 1 - len(np.unique(rows[:, 0])) / n if 40 <= n <= 2000 else 0.6, "bars": bars / n, "bar_lines": sum(line.count("|") > 2 for line in lines) / len(lines)}, rows[:, :2]
+    letters, upper, odd, exclaim, bars, marked, chars = total.tolist()
+    lines = [line for line in text.split("\n") if line.strip()] if bars > 2 else [""]
+    return {"symbols": odd / max(1, chars), "marked": marked / n, "upper": upper / max(1, letters), "exclaim": exclaim / n, "same": float((hashes[1:] == hashes[:-1]).sum()) / n,
+            "poverty": 1 - len(np.unique(hashes)) / n if 40 <= n <= 2000 else 0.6, "bars": bars / n, "bar_lines": sum(line.count("|") > 2 for line in lines) / len(lines)}, np.stack([hashes, shape], axis=1)
 
 
 def votes(measured: dict[str, float]) -> str:
@@ -111,12 +143,15 @@ def fit(docs: DataFrame) -> dict:
             rows.append((None, [], []) if m is None else (votes(m), *features(words)))
         return pd.DataFrame(rows, columns=["votes", "at", "share"])
 
-    patterns = {r["votes"]: r["n"] for r in docs.select(vote("text").alias("votes")).where("votes is not null").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # not deterministic to the optimizer, which else copies a Python column into filters and computes it twice
+    vote, feature = vote.asNondeterministic(), feature.asNondeterministic()
+    patterns = {r["votes"]: r["n"] for r in docs.select(vote("text").alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect() if r["votes"] is not None}
     posterior = estimate(patterns)
     total = sum(patterns.values())
     space = 1 << 30
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(space)) < int(space * min(1, SAMPLE / max(1, total))))
-    rows = chosen.select(feature("text").alias("f")).select("f.*").where("votes is not null").limit(2 * SAMPLE).collect()
+    rows = chosen.select(feature("text").alias("f")).select("f.*").limit(2 * SAMPLE).collect()
+    rows = [r for r in rows if r["votes"] is not None]
     return {"posterior": posterior, "weights": _descend(rows, posterior)}
 
 
@@ -159,7 +194,7 @@ def judge(docs: DataFrame, model: dict) -> Column:
                 v = votes(m)
                 rows.append((v, shared.value["posterior"].get(v, 0.5), float(1 / (1 + np.exp(-np.clip(bias + weights[at] @ share, -30, 30))))))
             yield pd.DataFrame(rows, columns=["votes", "weak", "score"])
-    return apply(F.col("text").cast("string"))
+    return apply.asNondeterministic()(F.col("text").cast("string"))
 
 
 def classify(docs: DataFrame) -> DataFrame:
