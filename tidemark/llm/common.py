@@ -43,7 +43,7 @@ def raw(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, kept for words seen before; forgets everything at a fixed size, so memory is bounded."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

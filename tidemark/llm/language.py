@@ -116,7 +116,7 @@ def predictor(docs: DataFrame, model):
                 best = int(s.argmax())
                 names[i], scores[i] = langs[best], s[best] / s.sum()
         return pd.DataFrame({"lang": names, "score": scores})
-    return predict
+    return predict.asNondeterministic()  # else the optimizer may compute it once more for a filter
 
 
 def identify(docs: DataFrame) -> DataFrame:
