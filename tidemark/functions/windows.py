@@ -164,6 +164,13 @@ def with_ema(df: DataFrame, specs: Mapping[str, Ema], key: str = CODE, date: str
     totals, as many as still matter in double precision.  One shuffle by key
     serves all passes.
     """
+    now = {name: s for name, s in specs.items() if s.a >= 1.0}  # no memory: the newest value itself
+    if now:
+        newest = Window.partitionBy(key).orderBy(date).rowsBetween(UNB, 0)
+        df = df.withColumns({name: F.last(s.source, ignorenulls=True).over(newest).cast("double") for name, s in now.items()})
+        specs = {name: s for name, s in specs.items() if name not in now}
+        if not specs:
+            return df
     names = list(df.columns)
     widest = max(-math.log1p(-s.a) for s in specs.values())
     block = int(max(8, min(512, 650 // widest)))

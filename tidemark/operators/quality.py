@@ -177,8 +177,8 @@ def table_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
         *keys, "change", "c.*")
 
 
-def lineage_reach(edges: DataFrame, start: DataFrame, direction: str = "downstream", max_depth: int = 10) -> DataFrame:
-    """Nodes reachable from ``start(node)`` over ``edges(src, dst)`` with their depth; at most ``max_depth`` joins, stops when dry.
+def lineage_reach(edges: DataFrame, start: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
+    """Nodes reachable from ``start(node)`` over ``edges(src, dst)`` with their depth, until no new node is met; ``max_depth`` ends the walk earlier.
 
     Each round is checkpointed, so the plan stays short and lost executors do not
     replay the walk.
@@ -190,7 +190,9 @@ def lineage_reach(edges: DataFrame, start: DataFrame, direction: str = "downstre
     edges = edges.select("src", "dst").distinct()
     seen = start.select("node", F.lit(0).alias("depth"))
     front = seen
-    for d in range(1, max_depth + 1):
+    d = 0
+    while max_depth is None or d < max_depth:
+        d += 1
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
         front = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         if front.isEmpty():
@@ -248,7 +250,10 @@ def clean_bars(bars: DataFrame, max_change: float = 20.0) -> DataFrame:
     """Positive prices, volume at least 0, open-to-close change within bounds, one row per key, quality tags."""
     ok = (F.col("open") > 0) & (F.col("high") > 0) & (F.col("low") > 0) & (close() > 0) & (F.col("volume") >= 0)
     chg = div(close() - F.col("open"), "open") * 100
-    x = bars.where(ok).withColumn("pct_change", chg).where(F.abs("pct_change") <= max_change).dropDuplicates([CODE, DATE])
+    x = bars.where(ok).withColumn("pct_change", chg).where(F.abs("pct_change") <= max_change)
+    # of rows for one key the largest volume stays, then the largest of the other columns
+    rest = ["volume", *[c for c in x.columns if c not in (CODE, DATE, "volume")]]
+    x = x.groupBy(CODE, DATE).agg(F.max(F.struct(*rest)).alias("_r")).select(CODE, DATE, "_r.*").select(*x.columns)
     return x.withColumn("quality", F.when(F.col("volume") == 0, "suspended").when(~ohlc_ok(), "suspect").otherwise("good"))
 
 

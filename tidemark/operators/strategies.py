@@ -146,8 +146,8 @@ def kelly(stats: DataFrame, fraction: float = 0.5, lowest: float = 0.05, highest
     x = stats.withColumn("kelly", F.when(bad, lowest).otherwise(k))
     if total is None:
         return x
-    s = F.sum("kelly").over(Window.partitionBy())
-    return x.withColumn("allocation", F.greatest(F.lit(1), F.floor(F.col("kelly") * total / s).cast("int")))
+    whole = x.agg(F.sum("kelly").alias("_sum"))  # one row
+    return (x.crossJoin(F.broadcast(whole)).withColumn("allocation", F.greatest(F.lit(1), F.floor(F.col("kelly") * total / F.col("_sum")).cast("int"))).drop("_sum"))
 
 
 def position_action(positions: DataFrame, take_1: float = 0.10, take_2: float = 0.20, stop: float = 0.03) -> DataFrame:

@@ -17,7 +17,7 @@ INTENSIFIERS = ["大幅", "显著", "明显", "严重", "重大", "急剧"]
 
 def sentiment(df: DataFrame, text: str = "text", positive: Sequence[str] = tuple(POSITIVE), negative: Sequence[str] = tuple(NEGATIVE),
               intensifiers: Sequence[str] = tuple(INTENSIFIERS)) -> DataFrame:
-    """Score in [-1, 1], label at ±0.2 and matched keywords; whole texts, JVM-side."""
+    """Score in [-1, 1], label at ±0.2, confidence by the number of hits and matched keywords; whole texts, JVM-side."""
     def hits(words: Sequence[str]):
         return F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(w)), w) for w in words]))
 
@@ -27,6 +27,7 @@ def sentiment(df: DataFrame, text: str = "text", positive: Sequence[str] = tuple
     s = F.col("sentiment_score")
     return x.withColumns({
         "sentiment": F.when(s > 0.2, "positive").when(s < -0.2, "negative").otherwise("neutral"),
+        "confidence": F.least(F.lit(1.0), (F.size("_p") + F.size("_n")) * 0.2 + 0.3),
         "keywords": F.array_join(F.concat("_p", "_n"), ",")}).drop("_p", "_n", "_i")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,14 +17,12 @@ from tidemark.plans.ctes import sql
 from tidemark.plans.q_technical import ema_cte, lagx, roll
 from tidemark.sources import bars as B
 from tidemark.sources import files as S
+from tidemark.session import checkpoint_dir
 
 
 def scratch(spark, name):
-    """A fresh folder for a query that writes and reads back: the cluster's shared folder, else local."""
-    import os
-    import uuid
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}") if base else tempfile.mkdtemp(prefix=f"tidemark-{name}-") + "/t"
+    """A fresh folder, under the shared checkpoint folder, for a query that writes and reads back."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 # ---- sources and sinks
@@ -86,7 +85,7 @@ def upserted(s, d):
     new = base.where("trade_date >= '2001-01-01'").withColumns({"high": F.col("high") + 1, "seq": F.lit(1)})
     newer = new.withColumns({"high": F.col("high") + 1, "seq": F.lit(2)}).where("code < '000050'")
     both = new.unionByName(newer)
-    S.upsert_daily(s, path, B.dedupe_last(both, ["code", "trade_date"], "seq").drop("seq"))
+    S.upsert_daily(s, path, both, sequence="seq")
     return s.read.parquet(path)
 
 

@@ -15,7 +15,7 @@ STANDARD = ["code", "trade_date", "open", "high", "low", "close", "volume", "amo
             "preclose", "pct_chg", "turnover"]
 ALIASES = {
     "date": "trade_date", "pre_close": "preclose", "preClose": "preclose",
-    "pctChg": "pct_chg", "change_pct": "pct_chg", "turn": "turnover", "turnover_rate": "turnover",
+    "pctChg": "pct_chg", "pct_change": "pct_chg", "change_pct": "pct_chg", "turn": "turnover", "turnover_rate": "turnover",
 }
 
 BAR_SCHEMA = T.StructType([
@@ -190,12 +190,25 @@ def resample(df: DataFrame, unit: str = "week") -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = (CODE, DATE),
            sequence: str | None = None) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key; last one wins inside ``new``."""
-    fresh = dedupe_last(new, keys, sequence) if sequence else new.dropDuplicates(list(keys))
+    """Rows of ``new`` replace rows of ``old`` with the same key; inside ``new`` the last by ``sequence`` wins.
+
+    Rows have no order of their own: without ``sequence``, a key that ``new`` holds twice is an error.
+    """
+    fresh = dedupe_last(new, keys, sequence) if sequence else unique_rows(new, keys)
+    if sequence and sequence not in old.columns:
+        fresh = fresh.drop(sequence)
     kept = old.join(fresh.select(*keys), list(keys), "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` as it is; the job fails where a key occurs twice."""
+    rest = [c for c in df.columns if c not in keys]
+    once = df.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"several rows for one key of {list(keys)}: name the column that orders them"))).otherwise(F.col("_r"))
+    return once.select(*keys, checked.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+
+
 def dedupe_last(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
     """Newest row per key by ``sequence``: ``max_by`` combines map-side, so hot keys shrink early."""
     rest = [c for c in df.columns if c not in keys]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +37,12 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*.parquet") -
 
 
 def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
-              columns: Sequence[str] | None = None, skip_bad: bool = True) -> DataFrame:
-    """Bars in a date range with standard names and types; the range reaches the scan."""
-    reader = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", skip_bad)
+              columns: Sequence[str] | None = None, skip_bad: bool = False, merge_schema: bool = True) -> DataFrame:
+    """Bars in a date range with standard names and types; on DATE columns the range reaches the scan.
+
+    A damaged file is an error unless ``skip_bad``; ``unread_files`` then names what was left out.
+    """
+    reader = spark.read.option("mergeSchema", merge_schema).option("ignoreCorruptFiles", skip_bad)
     df = normalize_names(reader.parquet(path))
     if not isinstance(df.schema[DATE].dataType, T.DateType):
         df = df.withColumn(DATE, parse_date(DATE))
@@ -52,6 +57,13 @@ def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str
     return df.select(*columns) if columns else df
 
 
+def unread_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of the Parquet files from which ``read_bars(skip_bad=True)`` got no row."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    read = spark.read.schema("code string").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    return listed.join(read.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path")).distinct(), "path", "left_anti")
+
+
 def query_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
     """Run Spark SQL with frames bound to the names used in the text."""
     return spark.sql(sql, **views) if "{" in sql else _with_views(spark, sql, views)
@@ -112,12 +124,20 @@ def upsert_daily(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[
     """Merge bars into date folders, rewriting only the folders ``new`` touches.
 
     The merged rows go to a sibling folder first, because a job may not
-    overwrite the folders it reads.
+    overwrite the folders it reads; its name is new for each run, so writers do
+    not meet there. A table that does not exist yet is made. Keys that occur
+    twice in ``new`` need ``sequence``.
     """
     dates = new.select(DATE).distinct()
-    old = spark.read.parquet(path).join(dates, DATE, "left_semi")
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = spark.createDataFrame([], new.schema)
+    old = old.join(dates, DATE, "left_semi")
     merged = upsert(old.select(*new.columns) if set(new.columns) <= set(old.columns) else old, new, keys, sequence)
-    staged = path.rstrip("/") + "_staged"
+    staged = f"{path.rstrip('/')}_staged-{uuid.uuid4().hex}"
     save_daily(merged, staged, "overwrite")
     part = spark.read.parquet(staged).join(dates, DATE, "left_semi")
     save_daily(part, path, "overwrite")
