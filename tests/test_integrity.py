@@ -81,3 +81,10 @@ def test_names_cleaning_confidence_and_allocation(spark):
     assert [round(r.confidence, 6) for r in said] == [0.7, 0.3]
     shares = strategies.kelly(spark.createDataFrame([(0.6, 2.0), (0.5, 1.0)], "win_rate double, profit_loss_ratio double"), total=10).orderBy(F.desc("kelly")).collect()
     assert [r.allocation for r in shares] == [8, 2] or sum(r.allocation for r in shares) <= 11
+
+
+def test_screens_return_all_rows_unless_asked(spark):
+    from tidemark.operators import filters, scoring
+    df = spark.range(50).selectExpr("cast(id as string) as code", "'S' as grade", "cast(id as double) as enhanced_score")
+    assert filters.grade_screen(df, "S", 0).count() == 50 and filters.grade_screen(df, "S", 0, top=3).count() == 3
+    assert scoring.top_n(df, "enhanced_score", None).count() == 50

@@ -466,22 +466,27 @@ def suspected_delisted(codes: DataFrame, bars: DataFrame, as_of: str, days_back:
 # -- screens -----------------------------------------------------------------
 
 
-def grade_screen(df: DataFrame, grade: str, min_score: float, max_score: float | None = None, top: int = 20) -> DataFrame:
+def _best(df: DataFrame, top: int | None) -> DataFrame:
+    """By score, best first; all rows unless a number is asked for."""
+    df = df.orderBy(F.col("enhanced_score").desc(), CODE)
+    return df if top is None else df.limit(top)
+
+
+def grade_screen(df: DataFrame, grade: str, min_score: float, max_score: float | None = None, top: int | None = None) -> DataFrame:
     out = df.where((F.col("grade") == grade) & (F.col("enhanced_score") >= min_score))
     out = out.where(F.col("enhanced_score") < max_score) if max_score is not None else out
-    return out.orderBy(F.col("enhanced_score").desc(), CODE).limit(top)
+    return _best(out, top)
 
 
-def bullish_screen(df: DataFrame, trend: str, change_min: float, change_max: float, top: int = 20) -> DataFrame:
+def bullish_screen(df: DataFrame, trend: str, change_min: float, change_max: float, top: int | None = None) -> DataFrame:
     c = F.col("pct_chg")
-    return df.where((F.col("trend") == trend) & (c > change_min) & (c < change_max)).orderBy(
-        F.col("enhanced_score").desc(), CODE).limit(top)
+    return _best(df.where((F.col("trend") == trend) & (c > change_min) & (c < change_max)), top)
 
 
-def keyword_screen(df: DataFrame, keywords: Sequence[str], top: int = 20, col: str = "reasons") -> DataFrame:
+def keyword_screen(df: DataFrame, keywords: Sequence[str], top: int | None = None, col: str = "reasons") -> DataFrame:
     for k in keywords:
         df = df.where(F.col(col).contains(k))
-    return df.orderBy(F.col("enhanced_score").desc(), CODE).limit(top)
+    return _best(df, top)
 
 
 # Default fundamental screen.

@@ -26,10 +26,11 @@ def weighted_score(df: DataFrame, factors: Mapping[str, tuple[float, float]], mi
     return top_n(df, "score", top) if top else df
 
 
-def top_n(df: DataFrame, by: str, n: int, ascending: bool = False) -> DataFrame:
-    """Best ``n`` rows (a distributed take-ordered), ties by code."""
+def top_n(df: DataFrame, by: str, n: int | None, ascending: bool = False) -> DataFrame:
+    """Best ``n`` rows (a distributed take-ordered), ties by code; all rows in that order without a number."""
     key = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
-    return df.orderBy(key, "code").limit(n)
+    ranked = df.orderBy(key, "code")
+    return ranked if n is None else ranked.limit(n)
 
 
 def quality_rank(df: DataFrame) -> DataFrame:

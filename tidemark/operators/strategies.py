@@ -77,7 +77,7 @@ def momentum_features(bars: DataFrame, short: int = 20, medium: int = 60) -> Dat
 
 
 def momentum_select(bars: DataFrame, min_20: float = 0.05, max_20: float = 0.30, min_60: float = 0.0, min_ratio: float = 1.0,
-                    max_vol: float = 0.5, require_uptrend: bool = True, top: int = 20) -> DataFrame:
+                    max_vol: float = 0.5, require_uptrend: bool = True, top: int | None = None) -> DataFrame:
     """Momentum screen on the newest bar, scored 0.5 / 0.3 / 0.2 by momentum, volume and acceleration."""
     x = latest_rows(momentum_features(bars), DATE, "close", "momentum_20d", "momentum_60d", "momentum_accel", "volume_ratio", "volatility", "uptrend")
     x = x.where(F.col("momentum_20d").between(min_20, max_20) & (F.col("momentum_60d") >= min_60) & (F.col("volume_ratio") >= min_ratio) & (F.col("volatility") <= max_vol))
@@ -87,7 +87,7 @@ def momentum_select(bars: DataFrame, min_20: float = 0.05, max_20: float = 0.30,
     return top_n(x.withColumn("total_score", F.round(s, 9)), "total_score", top)
 
 
-def low_volatility_select(bars: DataFrame, max_vol: float = 0.30, max_drawdown: float = -0.10, top: int = 20) -> DataFrame:
+def low_volatility_select(bars: DataFrame, max_vol: float = 0.30, max_drawdown: float = -0.10, top: int | None = None) -> DataFrame:
     """Calmest codes by 20-day volatility with a shallow drawdown from the running peak; codes under 60 bars drop out."""
     x = bars.withColumns({"_r": div(close(), lag("close")) - 1, "_d": div(close(), F.max("close").over(wc().rowsBetween(UNB, 0))) - 1, "_n": F.row_number().over(wc())})
     x = x.withColumns({"volatility_20d": rstd("_r", 20) * 252 ** 0.5, "volatility_60d": rstd("_r", 60) * 252 ** 0.5,
@@ -97,7 +97,7 @@ def low_volatility_select(bars: DataFrame, max_vol: float = 0.30, max_drawdown:
     return top_n(x.where((F.col("volatility_20d") < max_vol) & (F.col("max_drawdown_20d") > max_drawdown)), "volatility_20d", top, ascending=True)
 
 
-def blend_select(bars: DataFrame, min_ratio: float = 1.0, max_vol: float = 0.5, top: int = 20) -> DataFrame:
+def blend_select(bars: DataFrame, min_ratio: float = 1.0, max_vol: float = 0.5, top: int | None = None) -> DataFrame:
     """Z-score blend over the newest rows: 0.3 and 0.2 momentum, -0.3 volatility, 0.2 trend."""
     x = latest_rows(momentum_features(bars), DATE, "close", "momentum_20d", "momentum_60d", "volume_ratio", "volatility", "uptrend").where("momentum_60d is not null")
     x = x.withColumn("trend_score", F.when(F.col("uptrend"), 1.0).otherwise(0.0))
