@@ -38,7 +38,7 @@ BUCKETS = 4096
 #: Ends of words that leave the bucket as it is, so that forms of one word meet and share their pre-tokens.
 ENDS = b" .,;:!?#$%&*)\"'"
 #: Words an encoding task remembers; beyond that it starts anew, so memory is bounded.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
