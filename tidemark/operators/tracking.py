@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,12 +45,15 @@ def multi_period(picks: DataFrame, bars: DataFrame, periods: Sequence[int] = PER
     return g.select(CODE, "pick_date", *out)
 
 
-def track(picks: DataFrame, bars: DataFrame, max_days: int = 30) -> DataFrame:
-    """Outcome of each pick: first close through take-profit or stop-loss, else expiry.
+def track(picks: DataFrame, bars: DataFrame, as_of: str | dt.date, max_days: int = 30) -> DataFrame:
+    """Outcome of each pick as known on ``as_of``: first close through take-profit or stop-loss, else expiry.
 
     ``picks``: ``pick_id, code, pick_date, price, take_profit, stop_loss`` (percent).
-    Days are calendar days; a trigger on the last day overrides the expiry.
+    Days are calendar days; a trigger on the last day overrides the expiry. A pick whose days have not passed is
+    ``tracking`` and has no final profit; later picks drop out. Best and worst start at 0, without a day.
     """
+    today = F.lit(str(as_of)).cast("date")
+    picks, bars = picks.where(F.col("pick_date") <= today), bars.where(F.col(DATE) <= today)
     keys = ["pick_id", CODE, "pick_date", "price", "take_profit", "stop_loss"]
     day = F.datediff(DATE, "pick_date")
     profit = div(F.col("close") - F.col("price"), "price") * 100
@@ -62,11 +66,13 @@ def track(picks: DataFrame, bars: DataFrame, max_days: int = 30) -> DataFrame:
     best = F.array_max(F.transform("_seen", lambda b: F.struct(b["p"].alias("p"), (-b["d"]).alias("d"))))
     worst = F.array_min(F.transform("_seen", lambda b: F.struct(b["p"].alias("p"), b["d"].alias("d"))))
     last = F.try_element_at("_seen", F.lit(-1))
-    reason = (F.when(F.col("_stop").isNull(), "expired").when(F.col("_stop.p") >= F.col("take_profit"), "profit_triggered")
-              .otherwise("loss_triggered"))
-    return r.select(*keys[:3], F.when(F.col("_stop").isNull(), "completed").otherwise("stopped").alias("status"), reason.alias("stop_reason"),
-                    F.col("_stop.d").alias("stop_day"), last["p"].alias("final_profit"), best["p"].alias("max_profit"), (-best["d"]).alias("best_day"),
-                    worst["p"].alias("max_loss"), worst["d"].alias("worst_day"))
+    status = (F.when(F.col("_stop").isNotNull(), "stopped").when(F.datediff(today, "pick_date") >= max_days, "completed").otherwise("tracking"))
+    reason = (F.when(F.col("_stop.p") >= F.col("take_profit"), "profit_triggered").when(F.col("_stop").isNotNull(), "loss_triggered")
+              .when(status == "completed", "expired"))
+    zero = F.lit(0.0)
+    return r.select(*keys[:3], status.alias("status"), reason.alias("stop_reason"), F.col("_stop.d").alias("stop_day"),
+                    F.when(status != "tracking", last["p"]).alias("final_profit"), F.greatest(best["p"], zero).alias("max_profit"),
+                    F.when(best["p"] > 0, -best["d"]).alias("best_day"), F.least(worst["p"], zero).alias("max_loss"), F.when(worst["p"] < 0, worst["d"]).alias("worst_day"))
 
 
 def outcome_statistics(tracked: DataFrame, by: str) -> DataFrame:

@@ -32,14 +32,20 @@ def tracked_picks(s, d):
                     F.col("close").alias("price"), F.lit(10.0).alias("take_profit"), F.lit(-7.0).alias("stop_loss"))
 
 
-TR = """tp AS (SELECT code || '-' || CAST(trade_date AS VARCHAR) AS pick_id, code, trade_date AS pick_date, close AS price FROM bars WHERE volume>=40),
-tj AS (SELECT p.*, b.trade_date-p.pick_date AS dd, (b.close-price)/price*100 AS pr FROM tp p LEFT JOIN bars b ON b.code=p.code AND b.trade_date>p.pick_date AND b.trade_date<=p.pick_date+30),
+#: Within the panel, so that some picks are still open.
+AS_OF = "2000-06-15"
+TR = f"""tp AS (SELECT code || '-' || CAST(trade_date AS VARCHAR) AS pick_id, code, trade_date AS pick_date, close AS price FROM bars WHERE volume>=40 AND trade_date<=DATE '{AS_OF}'),
+tj AS (SELECT p.*, b.trade_date-p.pick_date AS dd, (b.close-price)/price*100 AS pr FROM tp p LEFT JOIN bars b ON b.code=p.code AND b.trade_date>p.pick_date AND b.trade_date<=p.pick_date+30 AND b.trade_date<=DATE '{AS_OF}'),
 ts AS (SELECT pick_id, min(CASE WHEN pr>=10 OR pr<=-7 THEN dd END) AS sd FROM tj GROUP BY 1), tk AS (SELECT tj.*, sd FROM tj JOIN ts USING (pick_id) WHERE sd IS NULL OR dd<=sd),
-tr AS (SELECT pick_id, code, pick_date, CASE WHEN max(sd) IS NULL THEN 'completed' ELSE 'stopped' END AS status, max(sd) AS stop_day, arg_max(pr,dd) AS final_profit, max(pr) AS max_profit, min(pr) AS max_loss FROM tk GROUP BY ALL)"""
-query("r02_tracking", sql(f"WITH {TR} SELECT pick_id, status, CASE WHEN stop_day IS NULL THEN 'expired' WHEN final_profit>=10 THEN 'profit_triggered' ELSE 'loss_triggered' END AS stop_reason, stop_day, round(final_profit,4) AS final_profit, round(max_profit,4) AS max_profit, round(max_loss,4) AS max_loss FROM tr", "bars"))(
-    lambda s, d: rounded(R.track(tracked_picks(s, d), I.bars(s, d)).select("pick_id", "status", "stop_reason", "stop_day", "final_profit", "max_profit", "max_loss")))
-query("r03_outcome_statistics", sql(f"WITH {TR}, z AS (SELECT *, CASE WHEN stop_day IS NULL THEN 'expired' WHEN final_profit>=10 THEN 'profit_triggered' ELSE 'loss_triggered' END AS sr FROM tr) SELECT pick_date, count(*) AS n, count(CASE WHEN final_profit>0 THEN 1 END) AS wins, round(avg(final_profit),4) AS avg_profit, count(CASE WHEN sr='profit_triggered' THEN 1 END) AS n_take_profit, count(CASE WHEN sr='loss_triggered' THEN 1 END) AS n_stop_loss FROM z GROUP BY 1", "bars"))(
-    lambda s, d: rounded(R.outcome_statistics(R.track(tracked_picks(s, d), I.bars(s, d)), "pick_date").select("pick_date", "n", "wins", "avg_profit", "n_take_profit", "n_stop_loss")))
+t0 AS (SELECT pick_id, code, pick_date, max(sd) AS stop_day, arg_max(pr,dd) AS lastp, max(pr) AS hi, min(pr) AS lo, first(dd ORDER BY pr DESC, dd) AS hd, first(dd ORDER BY pr, dd) AS ld FROM tk GROUP BY ALL),
+t1 AS (SELECT *, CASE WHEN stop_day IS NOT NULL THEN 'stopped' WHEN DATE '{AS_OF}'-pick_date>=30 THEN 'completed' ELSE 'tracking' END AS status FROM t0),
+tr AS (SELECT pick_id, code, pick_date, status, CASE WHEN status='completed' THEN 'expired' WHEN status='stopped' AND lastp>=10 THEN 'profit_triggered' WHEN status='stopped' THEN 'loss_triggered' END AS stop_reason, stop_day,
+ CASE WHEN status<>'tracking' THEN lastp END AS final_profit, greatest(coalesce(hi,0),0) AS max_profit, CASE WHEN hi>0 THEN hd END AS best_day, least(coalesce(lo,0),0) AS max_loss, CASE WHEN lo<0 THEN ld END AS worst_day FROM t1)"""
+query("r02_tracking", sql(f"WITH {TR} SELECT pick_id, code, pick_date, status, stop_reason, stop_day, round(final_profit,4) AS final_profit, round(max_profit,4) AS max_profit, best_day, round(max_loss,4) AS max_loss, worst_day FROM tr", "bars"))(
+    lambda s, d: rounded(R.track(tracked_picks(s, d), I.bars(s, d), AS_OF)))
+query("r03_outcome_statistics", sql(f"""WITH {TR} SELECT pick_date, count(*) AS n, count(CASE WHEN final_profit>0 THEN 1 END) AS wins, round(count(CASE WHEN final_profit>0 THEN 1 END)/nullif(count(final_profit),0)::DOUBLE,4) AS win_rate,
+ round(avg(final_profit),4) AS avg_profit, round(max(final_profit),4) AS best, round(min(final_profit),4) AS worst, count(CASE WHEN stop_reason='profit_triggered' THEN 1 END) AS n_take_profit, count(CASE WHEN stop_reason='loss_triggered' THEN 1 END) AS n_stop_loss FROM tr GROUP BY 1""", "bars"))(
+    lambda s, d: rounded(R.outcome_statistics(R.track(tracked_picks(s, d), I.bars(s, d), AS_OF), "pick_date")))
 query("r05_next_day", sql("WITH n AS (SELECT code, trade_date, volume, lead(close) OVER (PARTITION BY code ORDER BY trade_date)/close-1 AS r FROM bars) SELECT trade_date AS pick_date, count(*) AS n, round(avg(r),6) AS avg_return, round(avg(CASE WHEN r>0 THEN 1.0::DOUBLE ELSE 0 END),6) AS win_rate, round(max(r),6) AS best, round(min(r),6) AS worst FROM n WHERE volume>=40 AND r IS NOT NULL GROUP BY 1", "bars"))(
     lambda s, d: rounded(R.next_day_performance(picks(s, d), I.bars(s, d)), 6))
 query("r07_rebalance_dates", sql("SELECT min(trade_date) AS trade_date FROM bars GROUP BY date_trunc('month', trade_date)", "bars"))(lambda s, d: R.rebalance_dates(I.bars(s, d)))
