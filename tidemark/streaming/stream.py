@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.windows import CODE, div
+from tidemark.operators.quote_scans import quote_scans
 from tidemark.sources.files import upsert_daily
 
 TICK = "code string, ts timestamp, price double, volume long, side string"
@@ -141,5 +142,5 @@ def flush_ticks(ticks: DataFrame, path: str, checkpoint: str):
 
 
 def scan_stream(quotes: DataFrame, features: DataFrame) -> DataFrame:
-    """Quotes joined with daily history features (stream-static); scans then apply as on a batch."""
-    return quotes.join(features, CODE)
+    """The nine quote scans on a stream of quotes and a static table of history features (append mode)."""
+    return quote_scans(quotes, features)
