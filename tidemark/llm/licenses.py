@@ -1,17 +1,19 @@
 """Operator 5: license scans by patience alignment.
 
-A template can only be covered to ``LEAST`` if one of a few of its longest words is there; around each place of such a word
-the text is aligned with the template: words that occur once in both are anchors, the longest run of anchors in the same
-order stays, and the gaps between them are aligned in the same way. Coverage is the share of the template's words aligned.
+Templates are whole licenses, their notices and short statements (``license_templates``). Where enough of a template is in
+a text, so are enough of its rarer words, at about the same distance; around such a place the text is aligned with the
+template: words that occur once in both are anchors, the longest run of anchors in the same order stays, and the gaps
+between them are aligned in the same way. Coverage is the share of the template's words aligned. Phrases that tell a
+license from its siblings must be there word for word, and so must templates of under ``SHORT`` words.
 
 Defined results: null and empty texts have no license; each copy of a license in a text is reported; where matches
-overlap the better covered stays, then the one with more words aligned, then the name that sorts first; repeated rows give one row each; an empty
-table gives no rows; other columns are ignored.
+overlap the one with most words aligned, less those left out and those put in, stays, then the name that sorts first;
+repeated rows give one row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,21 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER_ALNUM, raw
+from tidemark.llm.license_templates import TEMPLATES
 
-#: Least share of a template's words; a template of fewer than ``SHORT`` words must be there in full, as each word tells licenses apart.
+#: Least share of a template's words; a template of fewer than ``SHORT`` words must be there word for word.
 LEAST, SHORT = 0.75, 15
-#: The usual short statements and the openings of the licenses' own notices.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
-                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
-    "MIT": ["Released under the MIT License.",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
-                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -84,46 +75,103 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words_of(text.encode("utf-8"))
+        self.names, self.without = ([b" ".join([b"", *words_of(x.encode("utf-8")), b""]) for x in getattr(text, kind, ())] for kind in ("names", "without"))
         n = len(self.words)
         self.least = n if n < SHORT else int(-(-n * LEAST // 1))
-        # if none of these places is met, fewer words than that can be
-        places = sorted(range(n), key=lambda i: (-len(self.words[i]), i))[:n - self.least + 1]
+        # of so many places at least ``votes`` are met where enough of the template is
+        self.votes = 1 if n < SHORT else max(1, n // 8)
+        often = Counter(self.words)
+        places = sorted(range(n), key=lambda i: (often[self.words[i]] if n >= SHORT else 0, -len(self.words[i]), i))[:n - self.least + self.votes]
         self.keys: dict[bytes, list[int]] = {}
         for i in places:
             self.keys.setdefault(self.words[i], []).append(i)
         self.slack = max(2, n // 4)
 
-    def scan(self, words: list[bytes], where: dict[bytes, list[int]]) -> Iterator[tuple[int, int, int]]:
-        """(words aligned, first word, end) of each place of the template in a text."""
-        n, done = len(self.words), -1
-        starts = sorted({p - i for w, places in self.keys.items() for p in where.get(w, ()) for i in places})
-        for s in starts:
-            if s < done:
+    def scan(self, words: list[bytes], starts: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(words aligned, first word, end) of each place of the template in a text; ``starts`` are where its key words put it."""
+        n, done = len(self.words), 0
+        starts = sorted(starts)
+        if n < SHORT:
+            for s in starts:
+                if s >= done and words[s:s + n] == self.words:
+                    done = s + n
+                    yield n, s, done
+            return
+        margin = self.slack + n - self.least  # how far words left out and put in can move a key word
+        k = 0
+        while k + self.votes <= len(starts):
+            first = starts[k]
+            if starts[k + self.votes - 1] - first > margin + n - self.least:
+                k += 1
                 continue
-            lo = max(0, s - self.slack, done)
-            got = align(words[lo:s + n + self.slack], self.words)
+            near = Counter(starts[k:bisect_right(starts, first + margin + n - self.least)])
+            best = min(near, key=lambda s: (-near[s], s))
+            lo, got = self.place(words, best, margin, done)
+            past = best + self.slack
             if len(got) >= self.least and got[-1][0] - got[0][0] < n + self.slack:
-                done = lo + got[-1][0] + 1
-                yield len(got), lo + got[0][0], done
-
-
-def find(text: bytes, templates: list[Template], keys: frozenset) -> list[tuple[str, int, int, float]]:
-    low = text.translate(LOWER_ALNUM)
-    if not any(k in low for k in keys):
-        return []
-    words = low.split()
+                start, end = lo + got[0][0], lo + got[-1][0] + 1
+                done = past = end
+                if self.named(words[start:end]):
+                    yield len(got), start, end
+            k = max(k + 1, bisect_left(starts, past))
+
+    def place(self, words: list[bytes], at: int, margin: int, done: int) -> tuple[int, list[tuple[int, int]]]:
+        """The best alignment of windows as long as the template or longer, moved to where most of its words were found."""
+        n, tried, seen = len(self.words), [], set()
+        while at not in seen and len(seen) < 3:
+            seen.add(at)
+            for room in (0, self.slack, margin):
+                lo = max(0, at - room, done)
+                got = align(words[lo:max(lo, at + n + room)], self.words)
+                tried.append((3 * len(got) - (got[-1][0] - got[0][0] if got else 0), -room, lo, got))
+                if len(got) == n and got[-1][0] - got[0][0] == n - 1:
+                    return lo, got
+            _, _, lo, got = max(tried)
+            if len(got) < self.votes:
+                break
+            moved = Counter(lo + i - j for i, j in got)
+            at = min(moved, key=lambda s: (-moved[s], s))
+        return max(tried)[2:]
+
+    def named(self, words: list[bytes]) -> bool:
+        text = b" ".join([b"", *words, b""])
+        return all(x in text for x in self.names) and not any(x in text for x in self.without)
+
+
+def by_word(templates: list[Template]) -> dict[bytes, list[tuple[int, list[int]]]]:
+    """Of each key word the templates it belongs to, and its places there."""
+    out: dict[bytes, list[tuple[int, list[int]]]] = {}
+    for k, t in enumerate(templates):
+        for w, places in t.keys.items():
+            out.setdefault(w, []).append((k, places))
+    return out
+
+
+def find(text: bytes, templates: list[Template], keys: dict[bytes, list[tuple[int, list[int]]]]) -> list[tuple[str, int, int, float]]:
+    words = words_of(text)
     where: dict[bytes, list[int]] = {}
     for i, w in enumerate(words):
         if w in keys:
             where.setdefault(w, []).append(i)
-    spans = sorted((-n / len(t.words), -n, t.name, start, end) for t in templates for n, start, end in t.scan(words, where))
+    met: dict[int, list[tuple[list[int], list[int]]]] = {}
+    for w, at in where.items():
+        for k, places in keys[w]:
+            if templates[k].least <= len(words):
+                met.setdefault(k, []).append((at, places))
+    spans = []
+    for k, pairs in met.items():
+        t = templates[k]
+        if sum(len(at) * len(places) for at, places in pairs) >= t.votes:
+            starts = [p - i for at, places in pairs for p in at for i in places]
+            # words aligned, less those left out and those put in
+            spans += ((-(3 * n - len(t.words) - (end - start)), -n, t.name, start, end, n / len(t.words)) for n, start, end in t.scan(words, starts))
     taken: list[tuple[str, int, int, float]] = []
     firsts: list[int] = []
-    for cover, _, name, start, end in spans:
+    for _, _, name, start, end, cover in sorted(spans):
         k = bisect_left(firsts, start)
         if (k == 0 or taken[k - 1][2] <= start) and (k == len(taken) or taken[k][1] >= end):
             firsts.insert(k, start)
-            taken.insert(k, (name, start, end, -cover))
+            taken.insert(k, (name, start, end, cover))
     return taken
 
 
@@ -137,7 +185,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_ = [Template(name, text) for name, texts in templates.items() for text in texts]
-        keys = frozenset(k for t in all_ for k in t.keys)
+        keys = by_word(all_)
         for batch in batches:
             texts = raw(batch.column(1))
             got = [find(t, all_, keys) for t in texts]
