@@ -20,31 +20,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements without text of their own page, those that never close, and those that stand inside a line.
-DROPPED = frozenset("script style noscript template svg iframe object title select textarea canvas math audio video".split())
+#: Elements whose text is dropped, those that never close, and those that stand inside a line, as all inside ``FOREIGN`` do.
+DROPPED = frozenset("script style template title select textarea datalist option optgroup".split())
+FOREIGN = frozenset("math svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math svg".split())
 #: Elements and words of class, id or role that mark what is not the article.
-CHROME_TAGS = frozenset("nav aside footer form button fieldset dialog menu".split())
+CHROME_TAGS = frozenset("nav aside footer button dialog menu".split())
+FORM_TAGS = frozenset("form fieldset".split())
 CHROME_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs
 sidebar widget footer masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing
 social related recommended recommendations comment comments commentlist respond reply replies disqus search pagination pager skip copyright legal disclaimer""".split())
 COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: A word after one of these, as in ``has-sidebar``, tells of what the element has, not what it is.
+QUALIFIERS = frozenset("has have with without no not non show hide hidden".split())
 #: An opening element closes these, up to the boundary elements.
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "body": {"head"}}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 BOUNDARY = frozenset("article main section div table ul ol dl nav aside header footer form body html".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: Weights of the classifier and of the ties between blocks.
+#: Weights of the classifier and of the ties between blocks; unlinked characters from which an element's text is strong.
+STRONG = 200
 CHROME, ARTICLE, HEADER, TIE = 12.0, 4.0, 6.0, 1.5
 
 
 class Block:
-    __slots__ = ("text", "links", "path", "chrome", "article", "header", "tag")
+    __slots__ = ("text", "links", "path", "chrome", "marks", "articles", "article", "header", "tag")
 
-    def __init__(self, path, chrome, article, header, tag):
-        self.text, self.links, self.path, self.chrome, self.article, self.header, self.tag = [], 0, path, chrome, article, header, tag
+    def __init__(self, path, chrome, marks, articles, article, header, tag):
+        self.text, self.links, self.path, self.chrome, self.marks, self.articles, self.article, self.header, self.tag = [], 0, path, chrome, marks, articles, article, header, tag
+
+
+def marked(value: str) -> set[str]:
+    """Words of a class, id or role that name its element."""
+    found = set()
+    for token in value.split():
+        for w in map(str.lower, _WORDS.findall(token)):
+            if w in QUALIFIERS:
+                break
+            found.add(w)
+    return found
 
 
 class _Reader(HTMLParser):
@@ -53,7 +69,8 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, int, int, bool, bool]] = []  # tag, number, chrome marks, in article, in page header
+        # tag, number, chrome elements and comment marks, numbers of elements marked by a word, numbers of article elements, in article, in page header
+        self.stack: list[tuple[str, int, int, tuple, tuple, bool, bool]] = []
         self.number, self.open, self.dropped = 0, None, 0
 
     def handle_starttag(self, tag, attrs):
@@ -63,7 +80,7 @@ class _Reader(HTMLParser):
             elif tag not in ("wbr", "img"):
                 self.open = None
             return
-        if tag in INLINE:
+        if self._inline(tag):
             self._push(tag, attrs)
             return
         self.open = None
@@ -76,34 +93,44 @@ class _Reader(HTMLParser):
                 break
         self._push(tag, attrs)
 
+    def _inline(self, tag) -> bool:
+        return tag in INLINE or any(x[0] in FOREIGN for x in self.stack)
+
     def _push(self, tag, attrs):
-        _, _, chrome, article, header = self.stack[-1] if self.stack else ("", 0, 0, False, False)
+        _, _, chrome, marks, articles, article, header = self.stack[-1] if self.stack else ("", 0, 0, (), (), False, False)
+        self.number += 1
         if tag not in ("html", "body", "head"):
-            words = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _WORDS.findall(v)}
-            marks = words & (COMMENT_WORDS if tag in ("article", "main", "p", "h1", "h2", "h3") else CHROME_WORDS)
-            chrome += bool(marks) or tag in CHROME_TAGS
+            words = set().union(*(marked(v) for k, v in attrs if k in ("class", "id", "role") and v))
+            commented = bool(words & COMMENT_WORDS)
+            chrome += commented or tag in CHROME_TAGS
+            plain = tag in ("article", "main", "p", "h1", "h2", "h3")
+            if not commented and (not plain and words & CHROME_WORDS or tag in FORM_TAGS or tag == "noscript" and not article):
+                marks += (self.number,)
+            if tag in ("article", "main"):
+                articles += (self.number,)
             article = article or tag in ("article", "main") or "main" in words and tag == "div"
             header = header or tag == "header" and not article
-        self.number += 1
-        self.stack.append((tag, self.number, chrome, article, header))
+        self.stack.append((tag, self.number, chrome, marks, articles, article, header))
 
     def handle_endtag(self, tag):
         if tag in VOID:
             if tag == "br":
                 self._text(" ")
             return
-        if tag not in INLINE:
+        inline = self._inline(tag)
+        if not inline:
             self.open = None
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
                 return
-            if tag in INLINE and self.stack[i][0] not in INLINE:
+            if inline and tag not in FOREIGN and self.stack[i][0] not in INLINE:
                 return
 
     def handle_startendtag(self, tag, attrs):
+        foreign = any(x[0] in FOREIGN for x in self.stack)
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "iframe", "object"):
+        if tag not in VOID and (foreign or tag in FOREIGN or tag in ("iframe", "object")):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
@@ -115,8 +142,8 @@ class _Reader(HTMLParser):
             if not data.strip():
                 return
             outer = [s for s in self.stack if s[0] not in INLINE]
-            _, _, chrome, article, header = self.stack[-1] if self.stack else ("", 0, 0, False, False)
-            self.open = Block([s[1] for s in outer], chrome, article, header, outer[-1][0] if outer else "")
+            _, _, chrome, marks, articles, article, header = self.stack[-1] if self.stack else ("", 0, 0, (), (), False, False)
+            self.open = Block([s[1] for s in outer], chrome, marks, articles, article, header, outer[-1][0] if outer else "")
             self.blocks.append(self.open)
         self.open.text.append(data)
         if any(s[0] == "a" for s in self.stack):
@@ -131,11 +158,34 @@ def read_blocks(html: str) -> list[tuple[str, Block]]:
     return [(text, b) for text, b in found if text]
 
 
-def costs(text: str, b: Block) -> tuple[float, float]:
+def weigh_marks(blocks: list[tuple[str, Block]]) -> dict[int, float]:
+    """What the word marks of each block cost, by the block's place.
+
+    A mark outside an article says nothing of that article, unless it is a short one beside a longer. A mark around most
+    of the page's strong text is the page's own wrapper, and costs less the more of it is inside.
+    """
+    own: dict[int, int] = {}
+    total = 0
+    for text, b in blocks:
+        if not b.chrome:
+            plain = max(0, len(text) - b.links)
+            total += plain
+            for e in b.marks + b.articles:
+                own[e] = own.get(e, 0) + plain
+    longest = max((own.get(a, 0) for _, b in blocks for a in b.articles), default=0)
+    part = {e: min(1.0, (1 - n / total) / 0.4) if n >= STRONG else 1.0 for e, n in own.items()}
+    out = {}
+    for i, (_, b) in enumerate(blocks):
+        inside = max((a for a in b.articles if 2 * own.get(a, 0) >= longest), default=0)
+        out[i] = sum(part.get(m, 1.0) for m in b.marks if m > inside)
+    return out
+
+
+def costs(text: str, b: Block, marks: float = 0.0) -> tuple[float, float]:
     """Cost of calling a block boilerplate, and of calling it content."""
     n, linked = len(text), b.links / max(1, len(text))
     content = 0.3 + min(2.0, n / 100) + 0.5 * min(3, sum(text.count(c) for c in ".!?;,")) + (ARTICLE if b.article else 0) + (0.5 if b.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") else 0)
-    other = (CHROME * b.chrome if b.chrome else 0) + (HEADER if b.header else 0) + (3.0 if linked > 0.6 else 0) + (0.5 if n < 25 and b.tag not in ("p", "h1", "h2", "h3") else 0)
+    other = CHROME * (b.chrome + marks) + (HEADER if b.header else 0) + (3.0 if linked > 0.6 else 0) + (0.5 if n < 25 and b.tag not in ("p", "h1", "h2", "h3") else 0)
     return content, other
 
 
@@ -174,7 +224,8 @@ def minimum_cut(content: list[float], other: list[float], ties: list[tuple[int,
 
 def main_text(html: str | None) -> str:
     blocks = read_blocks(html or "")
-    pairs = [costs(text, b) for text, b in blocks]
+    marks = weigh_marks(blocks)
+    pairs = [costs(text, b, marks[i]) for i, (text, b) in enumerate(blocks)]
     ties, last = [], {}
     for i, (_, b) in enumerate(blocks):
         parent = b.path[-2] if len(b.path) > 1 else 0
