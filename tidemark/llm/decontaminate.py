@@ -144,7 +144,9 @@ def _match(block, words, edge, place, start_of, change, items, close, near) -> N
     at = np.where(words[at] == vocabulary, at, -1)  # of each asked word, its list here
     lists = at[window_words]
     there = lists >= 0
-    for w in np.flatnonzero(there[:, 0] & (there.all(axis=1) | bool(near))):
+    real = np.arange(lists.shape[1]) < lengths[:, None]
+    enough = 5 * (there & real).sum(axis=1) >= 4 * lengths if near else np.zeros(len(lists), dtype=bool)
+    for w in np.flatnonzero(there.all(axis=1) | enough):
         k, starts, exact = lengths[w], None, True
         for j in range(k):
             if lists[w, j] < 0:
@@ -165,26 +167,34 @@ def _match(block, words, edge, place, start_of, change, items, close, near) -> N
             np.add.at(change, starts + k, -1)
             for d in np.unique(np.searchsorted(start_of, starts, side="right") - 1):
                 items[d] |= owners[w]
-        elif near and k > 2:
+        if near and k > 2:  # also beside an exact hit, which may be in another document
             _near(w, k, lists, offsets, edge, place, start_of, close, owners, near)
 
 
 def _near(w, k, lists, offsets, edge, place, start_of, close, owners, near) -> None:
-    """Proximity: at least four fifths of a window's words, each within ``near`` places of where the rarest one puts it."""
-    have = [j for j in range(k) if lists[w, j] >= 0]
-    if not have or have[0] != 0 or 5 * len(have) < 4 * k:
+    """Proximity: a start from which at least four fifths of a window's words stand within ``near`` places of their own.
+
+    Of any so many words one is there, if only a fifth may be missing: each of the rarest is tried as the anchor.
+    """
+    need = -(-4 * k // 5)
+    at = [place[edge[lists[w, j]]:edge[lists[w, j] + 1]] if lists[w, j] >= 0 else place[:0] for j in range(k)]
+    anchors = sorted(range(k), key=lambda j: len(at[j]))[:k - need + 1]
+    starts = np.concatenate([(at[j] - offsets[w, j])[:, None] + np.arange(-near, near + 1) for j in anchors]).ravel()
+    doc = np.concatenate([np.repeat(np.searchsorted(start_of, at[j], side="right") - 1, 2 * near + 1) for j in anchors])
+    if not len(starts):
         return
-    anchor = place[edge[lists[w, 0]]:edge[lists[w, 0] + 1]]
-    met = np.ones(len(anchor), dtype=np.int64)
-    doc = np.searchsorted(start_of, anchor, side="right") - 1
-    for rank, j in enumerate(have[1:], 2):
-        mine = place[edge[lists[w, j]]:edge[lists[w, j] + 1]]
-        want = anchor - offsets[w, 0] + offsets[w, j]
-        spot = np.minimum(np.searchsorted(mine, want - near), len(mine) - 1)
-        met += (np.abs(mine[spot] - want) <= near) & (np.searchsorted(start_of, mine[spot], side="right") - 1 == doc)
-        keep = 5 * (met + len(have) - rank) >= 4 * k
-        anchor, met, doc = anchor[keep], met[keep], doc[keep]
-        if not len(anchor):
+    starts, first = np.unique(starts, return_index=True)
+    doc = doc[first]  # documents stand further apart than a window reaches, so a start has one document
+    met = np.zeros(len(starts), dtype=np.int64)
+    for rank, j in enumerate(sorted(range(k), key=lambda j: len(at[j])), 1):
+        mine = at[j]
+        if len(mine):
+            want = starts + offsets[w, j]
+            spot = np.minimum(np.searchsorted(mine, want - near), len(mine) - 1)
+            met += (np.abs(mine[spot] - want) <= near) & (np.searchsorted(start_of, mine[spot], side="right") - 1 == doc)
+        keep = met + k - rank >= need
+        starts, met, doc = starts[keep], met[keep], doc[keep]
+        if not len(starts):
             return
     for d in np.unique(doc):
         close[d] |= owners[w]
@@ -206,8 +216,8 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[Windows]:
 def find(index: DataFrame, benchmark: DataFrame, size: int = 10, near: int = 0) -> DataFrame:
     """Every document of ``index`` with its hits of ``size``-word windows of ``benchmark`` (``item_id, text``).
 
-    ``near`` over 0 also gives, in ``near_items``, the items with a window of which four fifths of the words stand
-    within so many places of their own; ``size`` must not exceed the gap of the index.
+    ``near`` over 0 also gives, in ``near_items``, the items not met exactly that have a window of which four fifths of the
+    words stand within so many places of their own; a window and three times ``near`` must not exceed the gap of the index.
     """
     spark = index.sparkSession
     ready = []
@@ -230,4 +240,4 @@ def find(index: DataFrame, benchmark: DataFrame, size: int = 10, near: int = 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, near: int = 0) -> DataFrame:
-    return find(build_index(docs), benchmark, size, near)
+    return find(build_index(docs, max(64, size + 3 * near)), benchmark, size, near)

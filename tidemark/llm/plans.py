@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, htmltext, language, licenses, neardup, quality, quotes, urlfilter, vectors
 from tidemark.llm.common import table
-from tidemark.llm.stages import RANKS, WINDOW
+from tidemark.llm.stages import NEAR, RANKS, WINDOW
 
 
 def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def near_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op6_decontaminate``, whose columns its SQL fixes, with the items met nearly in further columns."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WINDOW, NEAR)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("long").alias("n_near_items"),
+                        F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"), (F.size("near_items") > 0).alias("near"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quotes, op2_bpe, op3_urlfilter, op4_htmltext, op5_licenses, op6_decontaminate, op7_quality, op8_neardup, op9_language, op10_vectors)}
+    op1_quotes, op2_bpe, op3_urlfilter, op4_htmltext, op5_licenses, op6_decontaminate, near_decontaminate, op7_quality, op8_neardup, op9_language, op10_vectors)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -15,8 +15,8 @@ from tidemark.llm.common import table
 
 #: Least posterior of the language a document is kept for.
 LANGUAGE_SCORE = 0.5
-#: File of the tokenizer's ranks, and the window of the benchmark in words.
-RANKS, WINDOW = "byte_bpe_multi_50k.tiktoken", 10
+#: File of the tokenizer's ranks, the window of the benchmark in words, and how far a word may stand from its place in it.
+RANKS, WINDOW, NEAR = "byte_bpe_multi_50k.tiktoken", 10, 2
 
 
 def _where(docs: DataFrame, verdict: Column, keep) -> DataFrame:
@@ -43,8 +43,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), WINDOW)
-    leaked = found.where("contaminated").select("doc_id").distinct()
+    found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), WINDOW, NEAR)
+    leaked = found.where(F.col("contaminated") | (F.size("near_items") > 0)).select("doc_id").distinct()
     rows = docs.select(key.alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return neardup.pick(rows, leaked, "left_anti").select("row.*")
 
