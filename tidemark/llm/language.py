@@ -22,6 +22,8 @@ from pyspark.sql.functions import pandas_udf
 
 #: Buckets of hashed n-grams, and the lengths of the n-grams in characters.
 BUCKETS, LENGTHS = 1 << 14, (1, 2, 3)
+#: A text may be so much less probable per n-gram than its language's own, and so many deviations of a mean of as many n-grams.
+BELOW, DEVIATIONS = 1.2, 2.0
 #: Cells of one partial sum, of which the reduce step handles one row per task and language.
 SLICE = 1 << 10
 #: Groups of tasks whose sums are added before the last step.
@@ -85,8 +87,11 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([first | {"salt": 0, "texts": sum(table["texts"].to_pylist()), "counts": total.tobytes()}], schema=_COUNTS)
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log-probabilities (bucket, language) and log-priors of ``lang, text``; all rows count."""
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, log-probabilities (bucket, language), log-priors of ``lang, text``, and what is usual; all rows count.
+
+    Usual are the mean and the deviation of a language's own n-grams' log-probability, each n-gram left out once.
+    """
     parts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null").mapInArrow(_count, COUNTS)
     rows = parts.groupBy("lang", "part", "salt").applyInArrow(_sum, COUNTS).groupBy("lang", "part").applyInArrow(_sum, COUNTS).collect()
     langs = sorted({r["lang"] for r in rows})
@@ -96,26 +101,36 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         counts[r["part"] * SLICE:(r["part"] + 1) * SLICE, i] = np.frombuffer(r["counts"], dtype=np.int64)
         texts[i] = r["texts"]
     smooth = counts + 0.1
-    return langs, np.log(smooth / smooth.sum(axis=0)), np.log(np.maximum(texts, 1) / max(1, texts.sum()))
+    share = counts / np.maximum(1, counts.sum(axis=0))
+    without = np.log(np.maximum(smooth - 1, 0.1) / np.maximum(smooth.sum(axis=0) - 1, 0.1))
+    mean = (share * without).sum(axis=0)
+    usual = np.stack([mean, np.sqrt(np.maximum(0, (share * without ** 2).sum(axis=0) - mean ** 2))])
+    return langs, np.log(smooth / smooth.sum(axis=0)), np.log(np.maximum(texts, 1) / max(1, texts.sum())), usual
 
 
 def predictor(docs: DataFrame, model):
-    """A column function ``text -> struct(lang, score)``; it keeps rows aligned, so any other column stays with its row."""
+    """A column function ``text -> struct(lang, score, margin)``; it keeps rows aligned, so any other column stays with its row.
+
+    ``margin`` is how much the text's log-probability per n-gram is above the least that is still the language's own.
+    The posterior cannot tell, as it is about 1 for any text of some length; ``margin`` does not grow with the text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("lang string, score double")
+    @pandas_udf("lang string, score double, margin double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, logp, prior = shared.value
-        names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        langs, logp, prior, (mean, deviation) = shared.value
+        names, scores, margins = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
         for i, text in enumerate(texts):
             if langs and text is not None and _LETTER.search(text):
                 n = grams(text)
                 bucket = np.flatnonzero(n)
-                s = prior + n[bucket] @ logp[bucket]
+                own = n[bucket] @ logp[bucket]
+                s = prior + own
                 s = np.exp(s - s.max())
                 best = int(s.argmax())
                 names[i], scores[i] = langs[best], s[best] / s.sum()
-        return pd.DataFrame({"lang": names, "score": scores})
+                margins[i] = own[best] / n.sum() - mean[best] + BELOW + DEVIATIONS * deviation[best] / np.sqrt(n.sum())
+        return pd.DataFrame({"lang": names, "score": scores, "margin": margins})
     return predict.asNondeterministic()  # else the optimizer may compute it once more for a filter
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontaminate, language, neardup, quality
 from tidemark.llm.common import table
 
-#: Least posterior of the language a document is kept for.
+#: Least posterior of the language a document is kept for; its margin (see ``language``) must not be negative either.
 LANGUAGE_SCORE = 0.5
 #: File of the tokenizer's ranks, the window of the benchmark in words, and how far a word may stand from its place in it.
 RANKS, WINDOW, NEAR = "byte_bpe_multi_50k.tiktoken", 10, 2
@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    return _where(docs, language.predictor(docs, model)(F.col("text").cast("string")), lambda v: (v["lang"] != "und") & (v["score"] >= LANGUAGE_SCORE))
+    return _where(docs, language.predictor(docs, model)(F.col("text").cast("string")), lambda v: (v["lang"] != "und") & (v["score"] >= LANGUAGE_SCORE) & (v["margin"] >= 0))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
