@@ -27,9 +27,13 @@ SAMPLE = 6000
 BUCKETS, EM_ROUNDS, FIT_ROUNDS = 1 << 13, 60, 300
 #: Least score of a kept text.
 THRESHOLD = 0.5
+#: Words of a piece in which distinct words are counted, at most; words of a phrase that may come again.
+PIECE, PHRASE = 2000, 8
+#: Weight, before any row is seen, of a text of which half or more comes again, or whose words are as poor.
+REPEATED = -8.0
 #: (name, measure, bad at or over, good under) of each labeller; between the two it abstains.
 LABELLERS = [("symbols", "symbols", 0.12, 0.03), ("marked_words", "marked", 0.5, 0.1), ("shouting", "upper", 0.5, 0.25), ("exclaiming", "exclaim", 0.3, 0.05),
-             ("stuttering", "same", 0.35, 0.1), ("poor_words", "poverty", 0.7, 0.55), ("tables", "bars", 0.15, 0.03), ("table_lines", "bar_lines", 0.5, 0.1)]
+             ("stuttering", "same", 0.35, 0.1), ("poor_words", "poverty", 0.7, 0.55), ("tables", "bars", 0.15, 0.03), ("table_lines", "bar_lines", 0.5, 0.1), ("loops", "loops", 0.5, 0.1)]
 
 
 class Shapes(dict):
@@ -78,6 +82,32 @@ class Shapes(dict):
         return np.concatenate(hashes), np.concatenate(shapes), total
 
 
+def repetition(hashes: np.ndarray) -> dict[str, float]:
+    """Share of words that are not new in their piece, as mean and worst of the pieces, and of phrases not new in the text.
+
+    Texts under 40 words are too short to call good by this.
+    """
+    n = len(hashes)
+    poor = [1 - len(np.unique(piece)) / len(piece) for piece in np.array_split(hashes, -(-n // PIECE))]
+    mean, worst = float(np.mean(poor)), max(poor)
+    loops = 0.3
+    if n >= 40:
+        phrase = np.zeros(n - PHRASE + 1, dtype=U64)
+        for k in range(PHRASE):
+            phrase = phrase * U64(0x9E3779B97F4A7C15) + hashes[k:n - PHRASE + 1 + k]
+        loops = 1 - len(np.unique(phrase)) / len(phrase)
+    return {"poverty": mean if n >= 40 or n >= PHRASE and mean >= 0.7 else 0.6, "worst": worst, "loops": loops}
+
+
+def _level(name: str, at: int) -> int:
+    return int(xxhash.xxh64_intdigest(f"{name}={at}") & (BUCKETS - 1))
+
+
+#: Buckets of the measures of repetition, in tenths; those that tell against a text before any row is seen.
+LEVELS = {(name, at): _level(name, at) for name in ("poverty", "worst", "loops") for at in range(11)}
+AGAINST = sorted({LEVELS["loops", at] for at in range(5, 11)} | {LEVELS["poverty", at] for at in range(7, 11)})
+
+
 def measures(text: str, shapes: Shapes) -> tuple[dict[str, float], np.ndarray]:
     """What the labellers look at, and the words' (hash, shape) pairs."""
     words = text.split()
@@ -86,7 +116,7 @@ def measures(text: str, shapes: Shapes) -> tuple[dict[str, float], np.ndarray]:
     letters, upper, odd, exclaim, bars, marked, chars = total.tolist()
     lines = [line for line in text.split("\n") if line.strip()] if bars > 2 else [""]
     return {"symbols": odd / max(1, chars), "marked": marked / n, "upper": upper / max(1, letters), "exclaim": exclaim / n, "same": float((hashes[1:] == hashes[:-1]).sum()) / n,
-            "poverty": 1 - len(np.unique(hashes)) / n if 40 <= n <= 2000 else 0.6, "bars": bars / n, "bar_lines": sum(line.count("|") > 2 for line in lines) / len(lines)}, np.stack([hashes, shape], axis=1)
+            **repetition(hashes), "bars": bars / n, "bar_lines": sum(line.count("|") > 2 for line in lines) / len(lines)}, np.stack([hashes, shape], axis=1)
 
 
 def votes(measured: dict[str, float]) -> str:
@@ -94,13 +124,15 @@ def votes(measured: dict[str, float]) -> str:
     return "".join("b" if measured[m] >= bad else "g" if measured[m] < good else "-" for _, m, bad, good in LABELLERS)
 
 
-def features(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and shares of word shapes, pairs of shapes and repeats of the word before."""
+def features(words: np.ndarray, measured: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and shares of word shapes, pairs of shapes and repeats of the word before; levels of repetition."""
     shape = mixed(words[:, 1])
     pair = mixed(shape[:-1] * U64(3) + shape[1:])
     same = np.where(words[1:, 0] == words[:-1, 0], U64(1), U64(2))
     bucket = (np.concatenate([shape, pair, mixed(same)]) & U64(BUCKETS - 1)).astype(np.int64)
-    count = np.bincount(bucket, minlength=BUCKETS)
+    count = np.bincount(bucket, minlength=BUCKETS).astype(np.float64)
+    for name in ("poverty", "worst", "loops") if len(words) >= 40 else ():
+        count[LEVELS[name, int(10 * measured[name] + 1e-9)]] += len(words)
     at = np.flatnonzero(count)
     return at, count[at] / len(words)
 
@@ -140,7 +172,7 @@ def fit(docs: DataFrame) -> dict:
         rows = []
         for t in texts:
             m, words = measures(t, shapes) if t.split() else (None, None)
-            rows.append((None, [], []) if m is None else (votes(m), *features(words)))
+            rows.append((None, [], []) if m is None else (votes(m), *features(words, m)))
         return pd.DataFrame(rows, columns=["votes", "at", "share"])
 
     # not deterministic to the optimizer, which else copies a Python column into filters and computes it twice
@@ -158,6 +190,7 @@ def fit(docs: DataFrame) -> dict:
 def _descend(rows: list, posterior: dict[str, float]) -> tuple[np.ndarray, float]:
     """Logistic regression of the posteriors on the features, each side with half of the weight."""
     weights, bias = np.zeros(BUCKETS), 0.0
+    weights[AGAINST] = REPEATED
     if not rows:
         return weights, bias
     y = np.array([posterior.get(r["votes"], 0.5) for r in rows])
@@ -190,7 +223,7 @@ def judge(docs: DataFrame, model: dict) -> Column:
                     rows.append((None, None, 0.0))
                     continue
                 m, words = measures(text, shapes)
-                at, share = features(words)
+                at, share = features(words, m)
                 v = votes(m)
                 rows.append((v, shared.value["posterior"].get(v, 0.5), float(1 / (1 + np.exp(-np.clip(bias + weights[at] @ share, -30, 30))))))
             yield pd.DataFrame(rows, columns=["votes", "weak", "score"])
