@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, htmltext, language, licenses, neardup, quality, quotes, urlfilter, vectors
+from tidemark.llm import bpe, decontaminate, htmltext, language, licenses, neardup, quality, quotes, trie, urlfilter, vectors
 from tidemark.llm.common import table
 from tidemark.llm.stages import NEAR, RANKS, WINDOW
 
@@ -62,8 +62,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quotes, op2_bpe, op3_urlfilter, op4_htmltext, op5_licenses, op6_decontaminate, near_decontaminate, op7_quality, op8_neardup, op9_language, op10_vectors)}
+    op1_quotes, op2_bpe, op3_urlfilter, op4_htmltext, op5_licenses, op6_decontaminate, near_decontaminate, op7_quality, op8_neardup, op9_language, op10_vectors, op11_trie)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -100,4 +104,26 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embedd
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.95 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
 r(vec, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec, l.b FROM r JOIN l ON l.a = r.c)
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.c AS component_id, m.c = v.vec_id AS kept FROM v JOIN (SELECT vec, min(c) AS c FROM r GROUP BY 1) m ON m.vec = v.vec_id""",
+    # crc32 is folded bit by bit; the places in the tour follow from the order of the prefixes' members
+    "op11_trie": r"""
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || md5(coalesce(text, '')))) AS i,
+ md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS m, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), CAST(4294967295 AS BIGINT)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, t.i AS p, m, words FROM c JOIN t ON t.conv_id = base AND t.i <= h UNION ALL SELECT c.conv_id, 1000000000 + t.i, m, words FROM c JOIN t USING (conv_id) WHERE t.i > h),
+s AS (SELECT conv_id, list(m ORDER BY p) AS ms, list(words ORDER BY p) AS ws FROM r GROUP BY 1),
+f AS (SELECT conv_id, coalesce(ms, []) AS ms, ws FROM c LEFT JOIN s USING (conv_id)),
+e AS (SELECT conv_id, ms, ws, unnest(range(0, len(ms) + 1)) AS depth FROM f),
+g AS (SELECT conv_id, depth, array_to_string(ms[1:depth], '') AS k, array_to_string(ms[1:depth - 1], '') AS up, CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END AS words, depth = len(ms) AS ends FROM e),
+n AS (SELECT k, depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS own, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM g GROUP BY k, depth),
+ch AS (SELECT up AS k, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+a AS (SELECT n.*, coalesce(ch.n, 0) AS n_children FROM n LEFT JOIN ch USING (k)),
+d AS (SELECT a.k, unnest(range(0, a.depth + 1)) AS l, n_children, own FROM a),
+u AS (SELECT substr(k, 1, 32 * l) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved_tokens, count(*) AS size FROM d GROUP BY 1),
+w AS (SELECT a.*, n_leaves, saved_tokens, size FROM a JOIN u USING (k)),
+o AS (SELECT w.k, w.up, w.depth, coalesce(sum(2 * size) OVER (PARTITION BY w.up, w.depth ORDER BY w.conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, size FROM w),
+pos(k, enter_at, size) AS (SELECT k, CAST(0 AS HUGEINT), size FROM o WHERE depth = 0 UNION ALL SELECT o.k, pos.enter_at + 1 + o.off, o.size FROM o JOIN pos ON o.up = pos.k AND o.depth > 0)
+SELECT w.conv_id, w.depth, pa.conv_id AS parent_conv_id, w.n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(w.n_leaves AS BIGINT) AS n_leaves, CAST(w.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256,
+ CAST(pos.enter_at AS BIGINT) AS enter_at, CAST(pos.enter_at + 2 * pos.size - 1 AS BIGINT) AS exit_at
+FROM w JOIN pos USING (k) LEFT JOIN w pa ON w.depth > 0 AND pa.k = w.up AND pa.depth = w.depth - 1""",
 }
