@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, htmltext, language, licenses, neardup, quality, quotes, trie, urlfilter, vectors
+from tidemark.llm import bpe, decontaminate, htmltext, language, licenses, neardup, negatives, pii, quality, quotes, trie, urlfilter, vectors
 from tidemark.llm.common import table
 from tidemark.llm.stages import NEAR, RANKS, WINDOW
 
@@ -66,8 +66,19 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector gets the next label first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.select("vec_id", "embedding", label.alias("label")))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quotes, op2_bpe, op3_urlfilter, op4_htmltext, op5_licenses, op6_decontaminate, near_decontaminate, op7_quality, op8_neardup, op9_language, op10_vectors, op11_trie)}
+    op1_quotes, op2_bpe, op3_urlfilter, op4_htmltext, op5_licenses, op6_decontaminate, near_decontaminate, op7_quality, op8_neardup, op9_language, op10_vectors, op11_trie, op12_negatives, op13_pii)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -126,4 +137,11 @@ pos(k, enter_at, size) AS (SELECT k, CAST(0 AS HUGEINT), size FROM o WHERE depth
 SELECT w.conv_id, w.depth, pa.conv_id AS parent_conv_id, w.n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(w.n_leaves AS BIGINT) AS n_leaves, CAST(w.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256,
  CAST(pos.enter_at AS BIGINT) AS enter_at, CAST(pos.enter_at + 2 * pos.size - 1 AS BIGINT) AS exit_at
 FROM w JOIN pos USING (k) LEFT JOIN w pa ON w.depth > 0 AND pa.k = w.up AND pa.depth = w.depth - 1""",
+    "op12_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
 }
