@@ -56,10 +56,10 @@ query("e08_top_turnover", sql(f"WITH {LNG}, {TO} SELECT factor, round(turnover,6
 query("e10_all_factor_metrics", sql(f"WITH {IC}, {LS.split(LNG + ', ')[1]}, {DD}, {TO}, i AS (SELECT factor, avg(ic) AS m, stddev_pop(ic) AS sd FROM ic WHERE ic IS NOT NULL GROUP BY 1) SELECT i.factor, round(m,6) AS ic_mean, round(m/sd,6) AS ic_ir, round(max_drawdown,6) AS max_drawdown, round(turnover,6) AS turnover FROM i JOIN dd USING (factor) JOIN tv USING (factor)", "bars"))(
     lambda s, d: rounded(E.evaluate(panel(s, d), FACTORS, "forward_return_5d").select("factor", "ic_mean", "ic_ir", "max_drawdown", "turnover"), 6))
 query("e10_effective_factors")(lambda s, d: rounded(E.effective(E.evaluate(panel(s, d), FACTORS, "forward_return_5d"), 0.0, 0.0, 0.5).select("factor", "ic_mean", "p_value"), 6))
-query("e11_w19_rolling_ic", sql(f"""WITH {LNG}, l1 AS (SELECT * FROM lg WHERE factor='bias5'), dy AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS dn FROM (SELECT DISTINCT trade_date FROM l1)), x AS (SELECT w.dn AS wn, w.trade_date, l.value, l.ret FROM dy w JOIN dy b ON b.dn>=w.dn-60 AND b.dn<w.dn JOIN l1 l ON l.trade_date=b.trade_date WHERE w.dn>60),
-rk AS (SELECT *, rank() OVER (PARTITION BY wn ORDER BY value) + (count(*) OVER (PARTITION BY wn, value)-1)/2.0 AS ra, rank() OVER (PARTITION BY wn ORDER BY ret) + (count(*) OVER (PARTITION BY wn, ret)-1)/2.0 AS rb FROM x)
-SELECT 'bias5' AS factor, trade_date, round(CASE WHEN count(*)>=100 THEN coalesce(corr(ra,rb),0) ELSE 0 END,6) AS rolling_ic FROM rk GROUP BY ALL""", "bars"))(
-    lambda s, d: rounded(E.rolling_ic(E.to_long(panel(s, d), ["bias5"], "forward_return_5d")), 6))
+query("e11_w19_rolling_ic", sql(f"""WITH {LNG}, dy AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS dn FROM (SELECT DISTINCT trade_date FROM lg)), x AS (SELECT l.factor, w.dn AS wn, w.trade_date, l.value, l.ret FROM dy w JOIN dy b ON b.dn>=w.dn-60 AND b.dn<w.dn JOIN lg l ON l.trade_date=b.trade_date WHERE w.dn>60),
+rk AS (SELECT *, rank() OVER (PARTITION BY factor, wn ORDER BY value) + (count(*) OVER (PARTITION BY factor, wn, value)-1)/2.0 AS ra, rank() OVER (PARTITION BY factor, wn ORDER BY ret) + (count(*) OVER (PARTITION BY factor, wn, ret)-1)/2.0 AS rb FROM x)
+SELECT factor, trade_date, round(CASE WHEN count(*)>=100 THEN coalesce(corr(ra,rb),0) ELSE 0 END,6) AS rolling_ic FROM rk GROUP BY ALL""", "bars"))(
+    lambda s, d: rounded(E.rolling_ic(lng(s, d)), 6))
 query("e11_dynamic_weights")(lambda s, d: rounded(E.dynamic_weights(E.daily_ic(lng(s, d)).select("factor", F.coalesce("ic", F.lit(0.0)).alias("rolling_ic"))), 6))
 COMBOS = {"c1": {"bias5": 0.3, "mom10": 0.7}, "c2": {"bias5": -0.5, "vol5": 0.5}, "c3": {"bias5": 0.2, "mom10": 0.4, "vol5": -0.4}}
 query("m32_composite", sql(f"WITH {LNG}, z AS (SELECT code, trade_date, coalesce((bias5-avg(bias5) OVER ())/stddev_samp(bias5) OVER (),0) AS a, coalesce((mom10-avg(mom10) OVER ())/stddev_samp(mom10) OVER (),0) AS b FROM pn) SELECT code, trade_date, round(a*0.3+b*0.7,6) AS composite_score FROM z", "bars"))(
