@@ -26,7 +26,8 @@ def _where(docs: DataFrame, verdict: Column, keep) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where(docs, quality.judge(docs, quality.fit(docs)), lambda v: v["score"] >= quality.THRESHOLD)
+    ready = quality.prepared(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return ready.select("row", quality.judge(ready, quality.fit(ready)).alias("verdict")).where(F.col("verdict")["score"] >= quality.THRESHOLD).select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
