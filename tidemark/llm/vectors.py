@@ -4,7 +4,7 @@ A coarse quantiser puts every vector into one inverted list; the rest to the lis
 vector also asks the lists nearest to it. In a list, table look-ups give the inner product with every coded vector; the
 code's own error, stored with it, bounds how far the look-up can be off, so no pair over the limit is lost there, and
 what remains is checked by exact cosines. Lists are worked in blocks of bounded size, and a block returns counts and the
-edges of its components, never all its pairs.
+edges of its components, never all its pairs. A link found from one end only counts at both.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite parts have no links and are their own
 component; vectors link with vectors of the same length only; rows with null ``vec_id`` link with nothing and are kept;
@@ -51,7 +51,8 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 class Quantiser:
     """Coarse centres and one codebook per subspace, fitted on unit vectors."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, sample: np.ndarray, lists: int, probes: int):
+        self.probes = probes
         self.coarse = kmeans(sample, lists)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
@@ -96,7 +97,7 @@ def _place(shared):
                 continue
             x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float64).reshape(batch.num_rows, -1)
             score = np.square(q.coarse).sum(axis=1) - 2 * x @ q.coarse.T
-            near = np.argsort(score, axis=1, kind="stable")[:, :PROBES]
+            near = np.argsort(score, axis=1, kind="stable")[:, :q.probes]
             codes, left = q.encode(x, near[:, 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)],
                                              names=["node", "copies", "unit", "near", "codes", "left"])
@@ -109,7 +110,7 @@ def _search(shared):
         node, ask, copies = (table[c].to_numpy() for c in ("node", "ask", "copies"))
         x = np.frombuffer(b"".join(table["unit"].to_pylist()), dtype=np.float64).reshape(table.num_rows, -1)
         a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
-        n, root = np.zeros(len(a), dtype=np.int64), {}
+        n, back, root = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64), {}
 
         def find(v: int) -> int:
             while (up := root.get(v, v)) != v:
@@ -120,6 +121,8 @@ def _search(shared):
         if len(a) and len(b):
             codes = np.frombuffer(b"".join([table["codes"][int(i)].as_py() for i in b]), dtype=np.uint8).reshape(len(b), -1)
             left = table["left"].to_numpy()[b]
+            home = table["home"].to_numpy()
+            asked = np.array([table["near"][int(i)].as_py() for i in b], dtype=np.int64)
             for s in range(0, len(a), 256):
                 part = a[s:s + 256]
                 i, j = np.nonzero(q.look_up(x[part], own, codes) >= LEAST - left - 1e-9)
@@ -128,14 +131,17 @@ def _search(shared):
                 good = np.einsum("ij,ij->i", x[part[i]], x[b[j]]) >= LEAST
                 i, j = i[good], j[good]
                 n[s:s + len(part)] += np.bincount(i, weights=copies[b[j]], minlength=len(part)).astype(np.int64)
+                # the other end counts the link itself where it asks this one's own list, else it is told here
+                alone = ~(asked[j] == home[part[i]][:, None]).any(axis=1)
+                back += np.bincount(j[alone], weights=copies[part[i[alone]]], minlength=len(b)).astype(np.int64)
                 for u, v in zip(node[part[i]].tolist(), node[b[j]].tolist()):
                     u, v = find(u), find(v)
                     if u != v:
                         root[max(u, v)] = min(u, v)
         linked = [(v, find(v)) for v in list(root)]
-        hit = n > 0
-        return pa.table({"node": pa.array([*node[a][hit].tolist(), *(v for v, _ in linked)], pa.int64()), "other": pa.array([*[None] * int(hit.sum()), *(r for _, r in linked)], pa.int64()),
-                         "n": pa.array([*n[hit].tolist(), *[0] * len(linked)], pa.int64())})
+        links = [*zip(node[a][n > 0].tolist(), n[n > 0].tolist()), *zip(node[b][back > 0].tolist(), back[back > 0].tolist())]
+        return pa.table({"node": pa.array([*(v for v, _ in links), *(v for v, _ in linked)], pa.int64()), "other": pa.array([*[None] * len(links), *(r for _, r in linked)], pa.int64()),
+                         "n": pa.array([*(c for _, c in links), *[0] * len(linked)], pa.int64())})
     return run
 
 
@@ -154,15 +160,15 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         sample = mine.where(F.pmod(F.xxhash64("class"), F.lit(space)) < int(space * min(1, SAMPLE / total))).select("unit").limit(2 * SAMPLE).collect()
         if not sample:
             sample = mine.select("unit").limit(SAMPLE).collect()
-        fitted = Quantiser(np.frombuffer(b"".join(bytes(r["unit"]) for r in sorted(sample)), dtype=np.float64).reshape(len(sample), dim), int(min(LISTS, max(1, total ** 0.5))))
+        fitted = Quantiser(np.frombuffer(b"".join(bytes(r["unit"]) for r in sorted(sample)), dtype=np.float64).reshape(len(sample), dim), int(min(LISTS, max(1, total ** 0.5))), PROBES)
         shared = spark.sparkContext.broadcast(fitted)
         placed = stored(mine.select("node", "copies", "unit").mapInArrow(_place(shared), "node long, copies long, unit binary, near array<int>, codes binary, left double"), "placed")
         lists = placed.groupBy(F.col("near")[0].alias("list")).agg(F.count(F.lit(1)).alias("size"))
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         # a list of many vectors is cut by hash; every asking vector meets each cut, and is itself in one of as many groups
-        held = placed.withColumn("list", F.col("near")[0]).join(lists, "list").select("list", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("cut"), F.lit(False).alias("ask"), "node", "copies", "unit", "codes", "left")
-        asking = (placed.select("node", "copies", "unit", F.explode("near").alias("list")).join(lists, "list").withColumn("cut", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                  .select("list", "cut", F.lit(True).alias("ask"), "node", "copies", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("left")))
+        held = placed.withColumn("list", F.col("near")[0]).join(lists, "list").select("list", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("cut"), F.lit(False).alias("ask"), "node", "copies", "unit", "codes", "left", F.lit(None).cast("int").alias("home"), "near")
+        asking = (placed.select("node", "copies", "unit", F.col("near")[0].alias("home"), F.explode("near").alias("list")).join(lists, "list").withColumn("cut", F.explode(F.sequence(F.lit(0), blocks - 1)))
+                  .select("list", "cut", F.lit(True).alias("ask"), "node", "copies", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("left"), "home", F.lit(None).cast("array<int>").alias("near")))
         asks = asking.groupBy("list", "cut").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups"))
         asking = asking.join(asks, ["list", "cut"]).withColumn("group", F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")).drop("groups")
         held = held.join(asks, ["list", "cut"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
