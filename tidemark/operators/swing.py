@@ -44,6 +44,9 @@ def swing_signals(bars: DataFrame, as_of=None, keep: int = 250, least: int = 120
     of 8 to 15 % on at most half the volume since a bar of more than twice its forerunner's volume among the last four; without
     such a bar, support at the 20-day average) and ``step3_passed`` (both); prices are 0 unless both hold. Monthly averages need
     35 months in the bars kept, and give no cross with fewer.
+
+    The five bars of the volume ratio hold the burst itself, which is at most three bars back, so with a burst the ratio stays above 0.5
+    and ``step2_passed`` false; kept as it is, since results must agree.
     """
     b = T.newest_bars(bars, keep, ["high", "close", "volume"], as_of).where(T.size() >= least)
     c = T.series("close")
