@@ -116,8 +116,8 @@ query("p05_clean_identity", "SELECT lpad(CAST(o_custkey AS VARCHAR),6,'0') AS co
     lambda s, d: B.clean_identity(I.table(s, d, "orders").select(
         F.concat(F.element_at(F.array(F.lit("sh."), F.lit("sz."), F.lit("bj.")), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int")), I.code_of("o_custkey")).alias("code"),
         F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.col("o_orderdate")).alias("trade_date"), F.col("o_orderdate").alias("date"), "o_totalprice")))
-query("p06_numeric_or_null", "SELECT doc_id, TRY_CAST(text AS DOUBLE) AS text, CAST(n_chars AS DOUBLE) AS n_chars FROM documents")(
-    lambda s, d: B.numeric_or_null(I.table(s, d, "documents").select("doc_id", "text", F.col("n_chars").cast("string").alias("n_chars")), ["text", "n_chars"]))
+query("p06_numeric_or_null", "SELECT doc_id, TRY_CAST(substr(text,1,2) AS DOUBLE) AS head, TRY_CAST(text AS DOUBLE) AS text, CAST(n_chars AS DOUBLE) AS n_chars FROM documents")(
+    lambda s, d: B.numeric_or_null(I.table(s, d, "documents").select("doc_id", F.substring("text", 1, 2).alias("head"), "text", F.col("n_chars").cast("string").alias("n_chars")), ["head", "text", "n_chars"]))
 query("p07_narrow_types", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")(
     lambda s, d: B.narrow_types(I.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")))
 query("p08_expressions", sql("SELECT code, trade_date, round((high-low)/close,6) AS amplitude, round(close*volume,4) AS value FROM bars", "bars"))(
