@@ -1,21 +1,25 @@
 """Factor evaluation in long form: all factors of a panel in one job.
 
-Ranks, quantiles and top shares per (factor, date) use the exact, skew-safe
-order statistics, so a date with very many codes spreads over tasks.
+A panel is stored once and sent to its dates once, one row for all factors;
+ranks, quantiles and top shares of a date are then windows without another
+shuffle.  Dates of more than ``PIECE`` rows take the exact, skew-safe order
+statistics instead, so a date with very many codes spreads over tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.order_stats import quantile_bucket, share_ends, top_share, with_rank
+from tidemark.functions.order_stats import PIECE, quantile_bucket, share_ends, with_rank
 from tidemark.functions.stats import t_p_value
 from tidemark.functions.windows import CODE, DATE, UNB, close, corr, div, lead
 from tidemark.operators.relational import zscore
-from tidemark.session import checkpoint_dir
+from tidemark.session import stored
 from tidemark.sources.bars import day_index
 
 GRP = ["factor", DATE]
@@ -33,35 +37,110 @@ def tradable_forward_returns(bars: DataFrame, days: int = 5) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame that several passes read, unless it is one already."""
+    """Store a frame that several passes read, unless it is stored already."""
     if getattr(df, "_tidemark_done", False):
         return df
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint()
+    out = stored(df)
     out._tidemark_done = True
     return out
 
 
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+
 def to_long(panel: DataFrame, factors: Sequence[str], ret: str) -> DataFrame:
-    """``code, trade_date, factor, value, ret``; rows without a finite value or return drop out."""
+    """``code, trade_date, ret, factor, value``; rows without a finite value or return drop out."""
     x = panel.select(CODE, DATE, F.col(ret).alias("ret"), *[F.col(f).cast("double").alias(f) for f in factors])
-    x = x.unpivot([CODE, DATE, "ret"], list(factors), "factor", "value")
+    x = materialize(x.where(_finite(F.col("ret"))))
+
+    def form(wide: DataFrame) -> DataFrame:
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("value")) for f in factors]))
+        return wide.select(CODE, DATE, "ret", pairs.alias("_p")).select(CODE, DATE, "ret", "_p.factor", "_p.value").where(_finite(F.col("value")))
+    return _divided(form(x), x, form)
+
+
+def _divided(long: DataFrame, source: DataFrame, form: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``long`` with its two parts: ordinary dates, each whole in one partition, and dates of more than ``PIECE`` rows."""
+    hot = [r[0] for r in source.groupBy(DATE).count().where(F.col("count") > PIECE).collect()]
+    far = F.coalesce(F.col(DATE).isin(hot), F.lit(False))
+    calm = form((source.where(~far) if hot else source).repartition(DATE))
+    long._tidemark_parts = (calm, form(source.where(far)) if hot else None)
+    return long
+
+
+def _parts(long: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    if not hasattr(long, "_tidemark_parts"):
+        kept = materialize(long)
+        _divided(long, kept, lambda x: x)
+    return long._tidemark_parts
+
+
+def _both(long: DataFrame, calm: Callable[[DataFrame], DataFrame], hot: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    ordinary, large = _parts(long)
+    return calm(ordinary) if large is None else calm(ordinary).unionByName(hot(large))
+
+
+def _places(long: DataFrame) -> DataFrame:
+    """Rows with ``_n``, doubled average ranks ``_a`` (value) and ``_b`` (return), places ``_up`` and ``_down`` by value, ties by code."""
+    g = Window.partitionBy(*GRP)
+
+    def low(c: str) -> Column:
+        return F.rank().over(g.orderBy(c)).cast("long")
+
+    def ties(c: str) -> Column:
+        return F.count(F.lit(1)).over(g.orderBy(c).rangeBetween(Window.currentRow, Window.currentRow))
+    x = long.withColumns({"_n": F.count(F.lit(1)).over(g), "_up": F.row_number().over(g.orderBy("value", CODE)).cast("long"),
+                          "_l": low("value"), "_t": ties("value"), "_b": 2 * low("ret") + ties("ret") - 1})
+    return x.withColumns({"_a": 2 * F.col("_l") + F.col("_t") - 1,
+                          "_down": F.col("_n") - F.col("_t") + F.col("_up") - 2 * (F.col("_l") - 1)}).drop("_l", "_t")
+
+
+def _rank_sums(number: str) -> list[Column]:
+    """Whole-number sums of products of doubled ranks about their mean: a correlation of zero comes out as zero."""
+    n = F.count(F.lit(1)).cast("long" if number == "long" else "decimal(10,0)")
+
+    def about(a: str, b: str) -> Column:
+        return F.sum((F.col(a) * F.col(b)).cast(number)) - n * (n + 1) * (n + 1)
+    return [about("_a", "_b").cast("double").alias("_ab"), about("_a", "_a").cast("double").alias("_aa"), about("_b", "_b").cast("double").alias("_bb")]
 
-    def finite(c: str) -> Column:
-        return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    return x.where(finite("value") & finite("ret"))
+
+def _ends_means() -> list[Column]:
+    return [F.avg(F.when(F.col("in_top"), F.col("ret"))).alias("top"), F.avg(F.when(F.col("in_bottom"), F.col("ret"))).alias("bottom")]
+
+
+def _ends(long: DataFrame, top: float, bottom: float) -> DataFrame:
+    """``in_top`` / ``in_bottom`` beside the places of ordinary dates."""
+    def first(place: str, share: float) -> Column:
+        return F.col(place) <= F.floor(F.col("_n") * F.lit(float(share)))
+    return _places(long).withColumns({"in_top": first("_down", top), "in_bottom": first("_up", bottom)})
+
+
+def _daily(long: DataFrame, top: float = 0.2, bottom: float = 0.2) -> DataFrame:
+    """``n``, rank sums and mean returns of both ends per factor and date; what is not asked for is not computed."""
+    def calm(x: DataFrame) -> DataFrame:
+        return _ends(x, top, bottom).groupBy(*GRP).agg(F.count(F.lit(1)).alias("n"), *_rank_sums("long"), *_ends_means())
+
+    def hot(x: DataFrame) -> DataFrame:
+        r = with_rank(with_rank(x, GRP, "value", "_a"), GRP, "ret", "_b").withColumns({c: (F.col(c) * 2).cast("long") for c in ("_a", "_b")})
+        r = r.groupBy(*GRP).agg(F.count(F.lit(1)).alias("n"), *_rank_sums("decimal(20,0)"))
+        return r.join(share_ends(x, GRP, "value", top, bottom, CODE).groupBy(*GRP).agg(*_ends_means()), GRP)
+    return _both(long, calm, hot)
+
+
+def _ic_of(daily: DataFrame, min_rows: int) -> DataFrame:
+    ok = (F.col("n") >= min_rows) & (F.col("_aa") > 0) & (F.col("_bb") > 0)
+    return daily.select(*GRP, "n", F.when(ok, F.try_divide("_ab", F.sqrt("_aa") * F.sqrt("_bb"))).alias("ic"))
 
 
 def daily_ic(long: DataFrame, method: str = "spearman", min_rows: int = 10) -> DataFrame:
     """Rank or linear correlation per factor and date; null under ``min_rows`` or without spread."""
     if method == "spearman":
-        x = with_rank(with_rank(long, GRP, "value", "_a"), GRP, "ret", "_b")
-    elif method == "pearson":
-        x = long.withColumns({"_a": F.col("value"), "_b": F.col("ret")})
-    else:
+        return _ic_of(_daily(long), min_rows)
+    if method != "pearson":
         raise ValueError(f"unknown method {method!r}")
-    g = x.groupBy(*GRP).agg(F.count(F.lit(1)).alias("n"), corr("_a", "_b").alias("_c"),
-                            F.min("_a").alias("_a0"), F.max("_a").alias("_a1"), F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
+    g = long.groupBy(*GRP).agg(F.count(F.lit(1)).alias("n"), corr("value", "ret").alias("_c"),
+                               F.min("value").alias("_a0"), F.max("value").alias("_a1"), F.min("ret").alias("_b0"), F.max("ret").alias("_b1"))
     ok = (F.col("n") >= min_rows) & (F.col("_a0") < F.col("_a1")) & (F.col("_b0") < F.col("_b1"))
     return g.select(*GRP, "n", F.when(ok, F.col("_c")).alias("ic"))
 
@@ -83,17 +162,32 @@ def _full_dates(long: DataFrame, min_rows: int) -> DataFrame:
 
 def quantile_returns(long: DataFrame, n: int = 5, min_rows: int | None = None) -> DataFrame:
     """Mean return and count per factor, date and quantile; dates under ``10 n`` rows drop out."""
-    x = _full_dates(long, min_rows if min_rows is not None else n * 10)
-    x = quantile_bucket(x, GRP, "value", n, "quantile", closed="right")
-    return x.groupBy(*GRP, "quantile").agg(F.avg("ret").alias("avg_return"), F.count(F.lit(1)).alias("count"))
+    least = min_rows if min_rows is not None else n * 10
+    g = Window.partitionBy(*GRP)
+
+    def cut(i: int) -> Column:
+        h = (F.col("_n") - 1) * F.lit(i / n)
+        h = F.when(F.abs(h - F.round(h)) < 1e-9, F.round(h)).otherwise(h)  # 35 * 0.2 is not quite 7
+        lo, hi = (F.max(F.when(F.col("_up") - 1 == k, F.col("value"))).over(g) for k in (F.floor(h), F.ceil(h)))
+        return lo + (hi - lo) * (h - F.floor(h))
+
+    def calm(x: DataFrame) -> DataFrame:
+        x = _places(x).where(F.col("_n") >= least).withColumns({f"_q{i}": cut(i) for i in range(1, n)})
+        return x.withColumn("quantile", sum((F.when(F.col("value") > F.col(f"_q{i}"), 1).otherwise(0) for i in range(1, n)), F.lit(1)))
+
+    def means(x: DataFrame) -> DataFrame:
+        return x.groupBy(*GRP, "quantile").agg(F.avg("ret").alias("avg_return"), F.count(F.lit(1)).alias("count"))
+    return _both(long, lambda x: means(calm(x)),
+                 lambda x: means(quantile_bucket(_full_dates(x, least), GRP, "value", n, "quantile", closed="right")))
+
+
+def _long_short_of(daily: DataFrame, min_rows: int) -> DataFrame:
+    return daily.where(F.col("n") >= min_rows).select(*GRP, "top", "bottom", (F.col("top") - F.col("bottom")).alias("long_short"))
 
 
 def long_short(long: DataFrame, top: float = 0.2, bottom: float = 0.2, min_rows: int = 20) -> DataFrame:
     """Top minus bottom mean return per factor and date."""
-    x = share_ends(_full_dates(materialize(long), min_rows), GRP, "value", top, bottom, CODE)
-    g = x.groupBy(*GRP).agg(F.avg(F.when(F.col("in_top"), F.col("ret"))).alias("top"),
-                            F.avg(F.when(F.col("in_bottom"), F.col("ret"))).alias("bottom"))
-    return g.withColumn("long_short", F.col("top") - F.col("bottom"))
+    return _long_short_of(_daily(long, top, bottom), min_rows)
 
 
 def long_short_summary(ls: DataFrame) -> DataFrame:
@@ -117,12 +211,12 @@ def max_drawdown(series: DataFrame, ret: str, by: Sequence[str] = ("factor",), d
 
 def top_turnover(long: DataFrame, share: float = 0.2) -> DataFrame:
     """Mean share of the top set that leaves by the next date, per factor."""
-    long = materialize(long)
+    top = _both(long, lambda x: _ends(x, share, 0.0).where("in_top").select(*GRP, CODE),
+                lambda x: share_ends(x, GRP, "value", share, 0.0, CODE).where("in_top").select(*GRP, CODE))
     days = day_index(long)
-    top = top_share(long, GRP, "value", share, CODE).where("in_top").select("factor", DATE, CODE)
-    top = top.join(days, DATE).select("factor", CODE, "day_no")
-    nxt = top.select("factor", CODE, (F.col("day_no") - 1).alias("day_no"), F.lit(1).alias("_stay"))
-    x = top.join(nxt, ["factor", CODE, "day_no"], "left")
+    top = top.join(F.broadcast(days), DATE).select("factor", CODE, "day_no")
+    w = Window.partitionBy("factor", CODE).orderBy("day_no")  # at most one row per day
+    x = top.withColumn("_stay", F.when(F.col(CODE).isNotNull() & (F.lead("day_no").over(w) == F.col("day_no") + 1), 1))
     last = days.agg(F.max("day_no")).first()[0]
     g = x.where(F.col("day_no") < F.lit(last)).groupBy("factor", "day_no").agg((1 - F.count("_stay") / F.count(F.lit(1))).alias("_t"))
     return g.groupBy("factor").agg(F.avg("_t").alias("turnover"))
@@ -134,9 +228,8 @@ def evaluate(panel: DataFrame, factors: Sequence[str], ret: str, p_values: bool
 
 
 def _evaluate_long(long: DataFrame, p_values: bool = True) -> DataFrame:
-    long = materialize(long)
-    ic = ic_summary(daily_ic(long))
-    ls = materialize(long_short(long))
+    daily = materialize(_daily(long))
+    ic, ls = ic_summary(_ic_of(daily, 10)), _long_short_of(daily, 20)
     out = (ic.join(long_short_summary(ls), "factor", "left").join(max_drawdown(ls, "long_short"), "factor", "left")
              .join(top_turnover(long), "factor", "left"))
     if p_values:
@@ -148,21 +241,72 @@ def effective(metrics: DataFrame, min_ir: float = 0.3, min_ic: float = 0.02, max
     return metrics.where((F.abs("ic_ir") >= min_ir) & (F.abs("ic_mean") >= min_ic) & (F.col("p_value") <= max_p))
 
 
+WINDOWS = 120  # most windows of one block; a block holds the rows of its windows + lookback - 1 dates
+BLOCK_ROWS = 12_000_000
+
+
+def _window_ics(lookback: int, min_rows: int, width: int, last: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Pooled rank correlations of the windows of one block; ranks come from running counts of the block's sorted values."""
+    def ics(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(rows["d"].to_numpy(), kind="stable")
+        d = rows["d"].to_numpy()[order]
+        codes = [np.unique(rows[c].to_numpy()[order] + 0.0, return_inverse=True)[1].astype(np.int32) for c in ("value", "ret")]
+        counts = [np.zeros(c.max() + 1, np.int32) for c in codes]
+        lo, hi = max(int(d[0]) + 1, lookback + 1, key[1] * width), min(int(d[-1]) + lookback, last, key[1] * width + width - 1)
+        days, out = [], []
+        a = b = 0
+        for w in range(lo, hi + 1):
+            na, nb = np.searchsorted(d, [w - lookback, w])
+            for c, k in zip(codes, counts):
+                if na < b:
+                    np.subtract.at(k, c[a:na], 1)
+                else:
+                    k[:] = 0
+                np.add.at(k, c[max(b, na):nb], 1)
+            a, b = na, nb
+            n = b - a
+            if n == 0:
+                continue
+            ic = 0.0
+            if n >= min_rows:
+                ra, rb = (2.0 * np.cumsum(k, dtype=np.int64)[c[a:b]] - k[c[a:b]] - n for c, k in zip(codes, counts))
+                spread = np.sqrt(np.dot(ra, ra)) * np.sqrt(np.dot(rb, rb))
+                ic = float(np.dot(ra, rb) / spread) if spread > 0 else 0.0
+            days.append(w)
+            out.append(ic)
+        return pd.DataFrame({"f": key[0], "day_no": days, "rolling_ic": out})
+    return ics
+
+
 def rolling_ic(long: DataFrame, lookback: int = 60, min_rows: int = 100) -> DataFrame:
     """Pooled rank correlation over the ``lookback`` dates before each date; 0 under ``min_rows``.
 
-    Every row takes part in ``lookback`` windows, which the exact pooled rank
-    needs; windows spread over tasks by (factor, window).
+    Windows go to tasks in blocks of up to ``WINDOWS``, fewer where dates are
+    large, so a row is sent to few blocks, not to ``lookback`` windows.  Blocks
+    of more than ``BLOCK_ROWS`` rows are ranked window by window in Spark, where
+    one window spreads over tasks.
     """
-    days = day_index(long)
-    last = days.agg(F.max("day_no").alias("last"))
-    x = long.join(days, DATE).join(F.broadcast(last.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k"))
-    lo, hi = F.greatest(F.col("day_no") + 1, F.lit(lookback + 1)), F.least(F.col("day_no") + lookback, F.col("last"))
-    x = x.where(lo <= hi).select("factor", "value", "ret", F.explode(F.sequence(lo, hi)).alias("_w"))
-    x = with_rank(with_rank(x, ["factor", "_w"], "value", "_a"), ["factor", "_w"], "ret", "_b")
-    g = x.groupBy("factor", "_w").agg(F.count(F.lit(1)).alias("n"), corr("_a", "_b").alias("_c"))
-    ic = F.when(F.col("n") >= min_rows, F.coalesce("_c", F.lit(0.0))).otherwise(0.0)
-    return g.select("factor", F.col("_w").alias("day_no"), ic.alias("rolling_ic")).join(days, "day_no").select("factor", DATE, "rolling_ic")
+    days = materialize(day_index(long))
+    sizes = long.groupBy(*GRP).count().groupBy("factor").agg(F.max("count").alias("n")).orderBy("factor").collect()
+    names, most = [r["factor"] for r in sizes], max((r["n"] for r in sizes), default=1)
+    last = days.agg(F.max("day_no")).first()[0] or 0
+    width = min(WINDOWS, max(1, BLOCK_ROWS // most - lookback))
+    number = F.array_position(F.array(*[F.lit(f) for f in names]), F.col("factor")).cast("int")
+    x = long.where(F.col("factor").isNotNull()).join(F.broadcast(days), DATE)
+    lo, hi = F.greatest(F.col("day_no") + 1, F.lit(lookback + 1)), F.least(F.col("day_no") + lookback, F.lit(last))
+    blocks = F.sequence(F.floor(lo / width).cast("int"), F.floor(hi / width).cast("int"))
+    x = x.where(lo <= hi).select(number.alias("f"), F.col("day_no").cast("int").alias("d"), "value", "ret", F.explode(blocks).alias("_b"))
+    large = [(r["f"], r["_b"]) for r in x.groupBy("f", "_b").count().where(F.col("count") > BLOCK_ROWS).collect()]
+    hot = F.struct("f", "_b").isin([F.struct(F.lit(f), F.lit(b)) for f, b in large]) if large else F.lit(False)
+    out = x.where(~hot).groupBy("f", "_b").applyInPandas(_window_ics(lookback, min_rows, width, last), "f int, day_no long, rolling_ic double")
+    if large:
+        first, final = F.greatest(F.col("d") + 1, F.lit(lookback + 1), F.col("_b") * width), F.least(F.col("d") + lookback, F.lit(last), F.col("_b") * width + width - 1)
+        y = x.where(hot & (first <= final)).select("f", "value", "ret", F.explode(F.sequence(first, final).cast("array<bigint>")).alias("day_no"))
+        y = with_rank(with_rank(y, ["f", "day_no"], "value", "_a"), ["f", "day_no"], "ret", "_b")
+        g = y.groupBy("f", "day_no").agg(F.count(F.lit(1)).alias("n"), corr("_a", "_b").alias("_c"))
+        out = out.unionByName(g.select("f", "day_no", F.when(F.col("n") >= min_rows, F.coalesce("_c", F.lit(0.0))).otherwise(0.0).alias("rolling_ic")))
+    factor = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("f")) if names else F.lit(None).cast("string")
+    return out.join(F.broadcast(days), "day_no").select(factor.alias("factor"), DATE, "rolling_ic")
 
 
 def dynamic_weights(rolling: DataFrame) -> DataFrame:
@@ -186,7 +330,7 @@ def composite(panel: DataFrame, weights: Mapping[str, float], scope: str = "all"
 def sweep(panel: DataFrame, combos: Mapping[str, Mapping[str, float]], ret: str, scope: str = "all") -> DataFrame:
     """Evaluate many weightings at once: each row carries one score per combination, then long form."""
     factors = sorted({f for c in combos.values() for f in c})
-    x = panel.select(CODE, DATE, ret, *factors)
+    x = materialize(panel.select(CODE, DATE, ret, *factors))  # every factor's mean and deviation read it
     for f in factors:
         x = zscore(x, f, f"_z_{f}", scope)
     cols = {}
