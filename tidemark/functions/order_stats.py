@@ -19,6 +19,22 @@ PIECE = 500_000
 _MOD = 1 << 30
 
 
+def _cuts_up_to(value: str) -> Column:
+    """How many of the sorted ``_cuts`` are at most ``value``, by halving."""
+    size = F.size("_cuts")
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        open_ = s["lo"] < s["hi"]
+        below = F.get("_cuts", mid) <= F.col(value)
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), half)["lo"]
+    return F.when(F.col("_cuts").isNotNull(), found)
+
+
 def order_stats(df: DataFrame, by: Sequence[str], value: str, piece: int = PIECE) -> DataFrame:
     """``by.., value, cnt, below, total``: multiplicity, rows below, group size."""
     if not by:
@@ -31,11 +47,8 @@ def order_stats(df: DataFrame, by: Sequence[str], value: str, piece: int = PIECE
                   .groupBy(*[F.col(b).alias(f"_{b}") for b in by])
                   .agg(F.array_sort(F.collect_list(value)).alias("_cuts")))
     on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
-    joined = counts.join(cuts, on, "left")
-    v = F.col(value)
-    pieces = joined.select(
-        *by, value, "cnt",
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c <= v)), F.lit(0)).alias("_piece"))
+    joined = counts.join(F.broadcast(cuts), on, "left")  # four cuts in PIECE distinct values
+    pieces = joined.select(*by, value, "cnt", F.coalesce(_cuts_up_to(value), F.lit(0)).alias("_piece"))
     w = Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = pieces.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
     totals = pieces.groupBy(*by, "_piece").agg(F.sum("cnt").alias("_size"))
