@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tidemark.functions.order_stats import quantiles
 from tidemark.functions.windows import (
     CODE, DATE, UNB, close, div, lag, open_, rmax, rmean, rmin, rstd, safe_div, vol, wc)
 from tidemark.registry import FACTORS
+from tidemark.session import stored
 from tidemark.sources.bars import board, board_limit
 
 
@@ -90,6 +93,33 @@ def pioneer_status(df: DataFrame, codes: Sequence[str] = ("300255",)) -> DataFra
 
 
 @FACTORS.register("cost_peak", "market", "cost_peak")
+def _fullest(bins: int):
+    """Column function from the bars of a window to the middle of its fullest bin, many windows at a time."""
+    @F.arrow_udf("double")
+    def peak(bars: pa.Array) -> pa.Array:
+        sizes = np.diff(bars.offsets.to_numpy())
+        flat = bars.flatten()
+        n, most, total = len(sizes), int(sizes.max(initial=1)), int(sizes.sum())
+        row = np.repeat(np.arange(n), sizes)
+        at = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        c, v = np.full((n, most), np.nan), np.zeros((n, most))
+        c[row, at] = flat.field("c").to_numpy(zero_copy_only=False)
+        v[row, at] = flat.field("v").to_numpy(zero_copy_only=False)
+        lo, hi = np.fmin.reduce(c, axis=1), np.fmax.reduce(c, axis=1)
+        width = (hi - lo) / bins
+        with np.errstate(invalid="ignore", divide="ignore"):
+            k = np.minimum(np.floor((c - lo[:, None]) / width[:, None]), bins - 1)
+        d = np.empty_like(v)
+        for j in range(most):
+            d[:, j] = np.where(k == k[:, j:j + 1], v, 0.0).sum(axis=1)
+        d[np.isnan(d)] = -1.0  # a bin with an unknown volume comes last
+        d[np.isnan(k)] = -2.0
+        first = np.where(d == d.max(axis=1, keepdims=True), k, np.inf).min(axis=1)
+        out = np.where(width == 0, hi, lo + (first + 0.5) * width)
+        return pa.array(out, mask=np.isnan(out))
+    return peak
+
+
 def cost_peak(df: DataFrame, window: int = 20, bins: int = 50) -> DataFrame:
     """Price of the fullest volume-at-price bin over the last bars; under five bars, the close.
 
@@ -97,18 +127,10 @@ def cost_peak(df: DataFrame, window: int = 20, bins: int = 50) -> DataFrame:
     shuffle beyond the one by code.  Ties go to the lowest bin.
     """
     keep = df.columns
-    x = df.withColumn("_bars", F.collect_list(F.struct(close().alias("c"), vol().alias("v")))
+    x = df.withColumn("_bars", F.collect_list(F.struct(close().cast("double").alias("c"), vol().cast("double").alias("v")))
                       .over(wc().rowsBetween(-(window - 1), 0)))
-    x = x.withColumns({"_lo": F.array_min(F.col("_bars.c")), "_hi": F.array_max(F.col("_bars.c"))})
-    x = x.withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
-    x = x.withColumn("_bins", F.expr(
-        f"transform(_bars, b -> struct(least(cast(floor(try_divide(b.c - _lo, _w)) as int), {bins - 1}) as k, b.v as v))"))
-    peak = F.expr("""array_max(transform(_bins, b -> struct(
-        aggregate(_bins, 0D, (s, o) -> if(o.k = b.k, s + o.v, s)) as d, -b.k as nk)))""")
-    x = x.withColumn("_peak", F.when((F.size("_bars") >= 5) & (F.col("_w") > 0), peak))
-    value = (F.when(F.size("_bars") < 5, close()).when(F.col("_w") == 0, F.col("_hi"))
-             .otherwise(F.col("_lo") + (-F.col("_peak.nk") + 0.5) * F.col("_w")))
-    return x.select(*keep, value.alias("cost_peak"))
+    value = F.when(F.size("_bars") < 5, close()).otherwise(F.col("_peak"))
+    return x.withColumn("_peak", _fullest(bins)("_bars")).select(*keep, value.alias("cost_peak"))
 
 
 def macro_interest_rate(df: DataFrame, period: int = 20) -> DataFrame:
@@ -197,13 +219,12 @@ def exit_lines(df: DataFrame) -> DataFrame:
 
 def data_thresholds(df: DataFrame) -> DataFrame:
     """One row of thresholds from the data: daily value and close quantiles, cost-peak mean."""
-    day = df.groupBy(DATE).agg((F.sum(vol() * close()) / 1e8).alias("v_total"))
+    day = stored(df.groupBy(DATE).agg((F.sum(vol() * close()) / 1e8).alias("v_total"), F.sum("cost_peak").alias("_s"), F.count("cost_peak").alias("_n")))
     q = quantiles(day, [], "v_total", {"q75": 0.75})
     m = quantiles(df, [], "close", {"median": 0.5})
-    means = day.agg(F.avg("v_total").alias("mean"))
-    peak = df.agg(F.avg("cost_peak").alias("peak"))
+    means = day.agg(F.avg("v_total").alias("mean"), F.try_divide(F.sum("_s"), F.sum("_n")).alias("peak"))
     one = q.drop("n").withColumn("_k", F.lit(1))
-    for t in (m.drop("n"), means, peak):
+    for t in (m.drop("n"), means):
         one = one.join(t.withColumn("_k", F.lit(1)), "_k")
     return one.select(
         (F.col("q75") * 0.9).alias("strong_v_total"), (F.col("mean") * 0.8).alias("osc_min"),
