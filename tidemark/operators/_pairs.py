@@ -2,44 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import CODE, DATE
-from tidemark.sources.bars import day_index
+from tidemark.session import stored
+
+#: Blocks to aim at, so that block pairs keep a cluster busy; codes of a block, which two at a time must fit a task.
+BLOCKS, WIDEST = 14, 6000
+#: Pairs of one batch of the result.
+BATCH = 250_000
+
+
+def block_count(n_codes: int, block: int) -> int:
+    """Blocks of at least ``block`` codes. A code is sent once to each, so blocks grow with the codes, up to ``WIDEST``."""
+    width = max(block, min(WIDEST, -(-n_codes // BLOCKS)))
+    return max(1, -(-n_codes // width))
 
 
 def block_correlations(r: DataFrame, coverage: float, block: int) -> DataFrame:
     """``code_a, code_b, corr`` from ``code, trade_date, r``."""
-    days = day_index(r)
-    n_days = days.agg(F.max("day_no")).first()[0] or 0
-    per = r.join(days, DATE).groupBy(CODE).agg(F.collect_list(F.struct((F.col("day_no") - 1).cast("int").alias("d"), "r")).alias("v"))
-    per = per.where(F.size("v") >= coverage * n_days)
-    n_codes = per.count()
-    n_blocks = max(1, -(-n_codes // block))
+    day = F.datediff(DATE, F.lit("1970-01-01").cast("date"))
+    per = r.groupBy(CODE).agg(F.collect_list(F.struct(day.alias("d"), "r")).alias("v"))
+    per = stored(per.select(CODE, F.col("v.d").alias("d"), F.col("v.r").alias("r")))
+    n_days = per.select(F.explode("d").alias("d")).distinct().count()
+    per = per.where(F.size("d") >= coverage * n_days)
+    n_blocks = block_count(per.count(), block)
     side = per.withColumn("b", F.pmod(F.xxhash64(CODE), F.lit(n_blocks)).cast("int"))
     # each code visits the block pairs its block belongs to
     both = side.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(
-        CODE, "v", "b", F.least("b", "o").alias("ba"), F.greatest("b", "o").alias("bb"))
-
-    def corr(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((len(pdf), n_days))
-        for i, v in enumerate(pdf["v"]):
-            for x in v:
-                m[i, x["d"]] = x["r"]
-        m -= m.mean(axis=1, keepdims=True)
-        norm = np.sqrt((m * m).sum(axis=1))
+        CODE, "d", "r", "b", F.least("b", "o").alias("ba"), F.greatest("b", "o").alias("bb"))
+
+    def corr(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        codes, blocks = np.array(t[CODE].to_pylist(), dtype=str), t["b"].to_numpy()
+        days, cells = np.unique(t["d"].chunk(0).flatten().to_numpy(), return_inverse=True)
+        values, ends = t["r"].chunk(0).flatten().to_numpy(), np.cumsum(t["d"].chunk(0).value_lengths().to_numpy())
+        total = np.add.reduceat(values, np.r_[0, ends[:-1]])
+        size = np.diff(np.r_[0, ends])
+        mean = total / n_days
+        # days without a return are zeros: what they add to the squares is the mean's own
+        squares = np.add.reduceat((values - np.repeat(mean, size)) ** 2, np.r_[0, ends[:-1]]) + (n_days - size) * mean * mean
+        norm = np.sqrt(squares)
         norm[norm == 0] = np.nan
-        m /= norm[:, None]
-        codes, blocks = pdf[CODE].to_numpy(), pdf["b"].to_numpy()
-        ia, ib = np.where(blocks == key[0])[0], np.where(blocks == key[1])[0]
-        c = m[ia] @ m[ib].T
-        a, b = np.repeat(codes[ia], len(ib)), np.tile(codes[ib], len(ia))
-        keep = (a < b) if key[0] == key[1] else np.ones(len(a), bool)
-        swap = a > b
-        return pd.DataFrame({"code_a": np.where(swap, b, a)[keep], "code_b": np.where(swap, a, b)[keep], "corr": c.ravel()[keep]})
-
-    return both.groupBy("ba", "bb").applyInPandas(corr, "code_a string, code_b string, corr double")
+        row = np.repeat(np.arange(len(codes)), size)
+        order = np.argsort(codes)
+        place = np.empty(len(codes), np.int64)
+        place[order] = np.arange(len(codes))
+        names = pa.array(codes[order])
+
+        def side_of(b: int) -> tuple[np.ndarray, np.ndarray]:
+            mine = np.where(blocks == b)[0]
+            at = np.full(len(codes), -1)
+            at[mine] = np.arange(len(mine))
+            m, here = np.zeros((len(mine), len(days))), blocks[row] == b
+            m[at[row[here]], cells[here]] = values[here]
+            return mine, m
+
+        same = key[0].as_py() == key[1].as_py()
+        ia, a = side_of(key[0].as_py())
+        ib, b = (ia, a) if same else side_of(key[1].as_py())
+        step = max(1, BATCH // max(1, len(ib)))
+        for s in range(0, len(ia), step):
+            i = ia[s:s + step]
+            c = (a[s:s + step] @ b.T - n_days * np.outer(mean[i], mean[ib])) / np.outer(norm[i], norm[ib])
+            pa_, pb = np.repeat(place[i], len(ib)), np.tile(place[ib], len(i))
+            keep = (pa_ < pb) if same else np.ones(len(pa_), bool)
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(np.minimum(pa_, pb)[keep])), names.take(pa.array(np.maximum(pa_, pb)[keep])), pa.array(c.ravel()[keep], from_pandas=True)],
+                ["code_a", "code_b", "corr"])
+
+    return both.groupBy("ba", "bb").applyInArrow(corr, "code_a string, code_b string, corr double")
