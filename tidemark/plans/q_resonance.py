@@ -38,7 +38,7 @@ FLAGS = ", ".join(f"f{i} IS NOT NULL AS s{i}" for i in range(1, 5))
 
 
 def signals(s, d):
-    return R.resonance_signals(I.bars(s, d))
+    return R.resonance_signals(I.panel(s, d))
 
 
 def scanned(s, d):
@@ -60,7 +60,7 @@ l AS (SELECT * FROM b WHERE n>=20 AND volume>0 AND volume>={MIN_VOLUME} AND (clo
 m AS (SELECT l.code, l.trade_date, l.close, l.volume, coalesce(grade, 'N') AS grade, coalesce(signal_count, 0) AS signal_count FROM l LEFT JOIN scan ON l.code=scan.code)
 SELECT code, trade_date, round(close, 4) AS close, volume, grade, signal_count,
  round(CASE grade WHEN 'S+' THEN 100 WHEN 'A' THEN 80 WHEN 'B' THEN 60 WHEN 'C' THEN 40 ELSE 20 END*0.6::DOUBLE+signal_count*4::DOUBLE, 4) AS conservative_score FROM m ORDER BY conservative_score DESC, code LIMIT 30""", "bars"))(
-    lambda s, d: rounded(R.conservative_flow(I.bars(s, d), scanned(s, d), min_volume=MIN_VOLUME)))
+    lambda s, d: rounded(R.conservative_flow(I.panel(s, d), scanned(s, d), min_volume=MIN_VOLUME)))
 
 query("m25_aggressive_flow", sql(f"""WITH {SIGNALS},
 t AS (SELECT *, row_number() OVER (PARTITION BY grade ORDER BY signal_count DESC, code) AS rn, count(*) OVER (PARTITION BY grade) AS n FROM scan)
@@ -84,4 +84,4 @@ def balanced_sql() -> str:
     return f"WITH {each} SELECT code, trade_date, round({total}, 4) AS factor_score FROM {last} {joins} ORDER BY factor_score DESC, code LIMIT 30"
 
 
-query("m25_balanced_flow", balanced_sql())(lambda s, d: rounded(R.balanced_flow(scored(I.bars(s, d))).select(CODE, DATE, "factor_score")))
+query("m25_balanced_flow", balanced_sql())(lambda s, d: rounded(R.balanced_flow(scored(I.panel(s, d))).select(CODE, DATE, "factor_score")))
