@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,8 @@ def read_files(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]
     cols = list(columns or df.columns)
     if rows_per_file is None:
         return df.select(*cols)
-    w = Window.partitionBy("_file").orderBy("_pos")
-    picked = df.select(*cols, F.col("_metadata.file_path").alias("_file"),
-                       F.col("_metadata.row_index").alias("_pos"))
-    return picked.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows_per_file).select(*cols)
+    # a row's place in its file tells whether it is among the first: no sort, no task that holds a file
+    return df.where(F.col("_metadata.row_index") < rows_per_file).select(*cols)
 
 
 def read_glob(spark: SparkSession, pattern: str, columns: Sequence[str] | None = None) -> DataFrame:
