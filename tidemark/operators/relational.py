@@ -37,6 +37,7 @@ def last_n_stats(bars: DataFrame, stats: Mapping[str, tuple[Callable, str]], win
 
 def entry_exit(picks: DataFrame, bars: DataFrame, hold_days: int, pick_date: str = "pick_date") -> DataFrame:
     """First bar on or after the pick, and on or after pick + ``hold_days``; else the last bar and ``is_open``."""
+    bars = bars.join(picks.select(CODE).distinct(), CODE, "left_semi")
     a = asof_forward(picks, bars, ["close"], left_date=pick_date).withColumnsRenamed(
         {"asof_date": "entry_date", "close": "entry_price"}).withColumn("_due", F.date_add(pick_date, hold_days))
     b = asof_forward(a, bars, ["close"], left_date="_due").withColumnsRenamed({"asof_date": "_x", "close": "_xp"})
