@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import CODE, DATE, div, wc_desc
+from tidemark.functions.windows import CODE, DATE, div, spread, wc_desc
 
 #: Metric, lower and upper end of its range, weight.
 FUNDAMENTAL_RANGES = {
@@ -88,18 +88,27 @@ def limit_up_pullback(rows: DataFrame, max_limit_ups: int = 3, max_turnover: flo
 
 
 def check_orders(orders: DataFrame, positions: DataFrame, accounts: DataFrame, stocks: DataFrame, single: float = 0.10, sector: float = 0.30,
-                 daily: float = 0.05, total: float = 0.20, liquidity: float = 1e7, volatility: float = 5.0) -> DataFrame:
+                 daily: float = 0.05, total: float = 0.20, liquidity: float = 1e7, volatility: float = 5.0, rows: int = 0) -> DataFrame:
     """Rules of an order before trading: what blocks it, what warns, and whether it may run; each order on its own.
 
     ``orders``: ``account_id, code, quantity, price``; ``positions``: ``account_id, code, value``; ``accounts``:
     ``account_id, total_capital, daily_pnl, peak_capital``; ``stocks``: ``code, industry, amount, atr_pct``. Only losses
-    count for the day. Unknown accounts are blocked; unknown turnover or volatility gives no warning.
+    count for the day. Unknown accounts are blocked; unknown turnover or volatility gives no warning. ``rows``, the number of
+    orders where it is known, lets the tasks of accounts grow in number.
     """
     held = positions.groupBy("account_id", CODE).agg(F.sum("value").alias("_held"))
-    placed = stocks.select(CODE, "industry", "amount", "atr_pct")
-    by_sector = held.join(placed.select(CODE, "industry"), CODE).groupBy("account_id", "industry").agg(F.sum("_held").alias("_sector"))
-    x = (orders.join(placed, CODE, "left").join(accounts, "account_id", "left").join(held, ["account_id", CODE], "left").join(by_sector, ["account_id", "industry"], "left"))
-    value = F.col("quantity") * F.col("price")
+    rest = [c for c in orders.columns if c not in ("account_id", CODE)]
+    # orders and holdings go the same way together: once by code for the stock's row, once by account for the sums
+    both = orders.withColumns({"_value": F.col("quantity") * F.col("price"), "_order": F.lit(True)}).unionByName(
+        held.withColumn("_order", F.lit(False)), allowMissingColumns=True)
+    x = spread(both.join(stocks.select(CODE, "industry", "amount", "atr_pct"), CODE, "left"), rows, "account_id")
+    known = F.col("account_id").isNotNull()
+    x = x.withColumns({
+        "_sector": F.when(known & F.col("industry").isNotNull(), F.sum("_held").over(Window.partitionBy("account_id", "industry"))),
+        "_held": F.when(known & F.col(CODE).isNotNull(), F.max("_held").over(Window.partitionBy("account_id", CODE)))})
+    x = x.where("_order").join(accounts, "account_id", "left").select(
+        "account_id", "industry", CODE, *rest, "amount", "atr_pct", *[c for c in accounts.columns if c != "account_id"], "_held", "_sector", "_value")
+    value = F.col("_value")
     x = x.withColumns({
         "stock_ratio": div(F.coalesce("_held", F.lit(0.0)) + value, "total_capital"), "sector_ratio": div(F.coalesce("_sector", F.lit(0.0)) + value, "total_capital"),
         "daily_loss": div(F.greatest(-F.col("daily_pnl"), F.lit(0.0)), "total_capital"), "drawdown": div(F.col("peak_capital") - F.col("total_capital"), "peak_capital")})
@@ -107,4 +116,4 @@ def check_orders(orders: DataFrame, positions: DataFrame, accounts: DataFrame, s
         "blocks": _texts((F.col("total_capital").isNull(), "unknown_account"), (F.col("stock_ratio") > single, "single_stock_limit"), (F.col("sector_ratio") > sector, "sector_concentration"),
                          (F.col("daily_loss") > daily, "daily_drawdown"), (F.col("drawdown") > total, "total_drawdown")),
         "warnings": _texts((F.col("amount") <= liquidity, "liquidity_check"), (F.col("atr_pct") >= volatility, "volatility_check"))})
-    return x.withColumn("can_execute", F.col("blocks") == "").drop("_held", "_sector")
+    return x.withColumn("can_execute", F.col("blocks") == "").drop("_held", "_sector", "_value")

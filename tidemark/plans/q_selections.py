@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import lag, rmean
+from tidemark.functions.windows import lag, latest_rows, rmean
 from tidemark.operators import selections as S
 from tidemark.plans import inputs as I
 from tidemark.plans.catalog import query, rounded
@@ -69,7 +69,8 @@ def account_tables(s, d):
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_extendedprice").alias("value"), "l_returnflag")
     capital = (o.groupBy(F.col("o_custkey").alias("account_id")).agg(F.round(F.sum("o_totalprice")).alias("total_capital"))
                .withColumns({"daily_pnl": F.col("total_capital") * (F.pmod("account_id", F.lit(9)) - 6) / 100, "peak_capital": F.col("total_capital") * (1 + F.pmod("account_id", F.lit(5)) / 12)}))
-    placed = I.snapshot(s, d).select("code", "industry", "amount", ((F.col("high") - F.col("low")) / F.col("close") * 100).alias("atr_pct"))
+    last = latest_rows(I.bars(s, d), "trade_date", "high", "low", "close", "amount")
+    placed = last.join(I.stocks(s, d), "code").select("code", "industry", "amount", ((F.col("high") - F.col("low")) / F.col("close") * 100).alias("atr_pct"))
     return li, li.where("l_returnflag = 'R'").select("account_id", "code", "value"), capital, placed
 
 
@@ -82,5 +83,5 @@ x AS (SELECT li.*, (coalesce(held,0)+v)/k AS sr, (coalesce(sec,0)+v)/k AS sc, gr
 y AS (SELECT *, concat_ws(',', CASE WHEN sr>0.1 THEN 'single_stock_limit' END, CASE WHEN sc>0.3 THEN 'sector_concentration' END, CASE WHEN dl>0.0501 THEN 'daily_drawdown' END, CASE WHEN dd>0.2 THEN 'total_drawdown' END) AS blocks,
  concat_ws(',', CASE WHEN amount<=40000 THEN 'liquidity_check' END, CASE WHEN atr>=5 THEN 'volatility_check' END) AS warnings FROM x)
 SELECT account_id, l_orderkey, l_linenumber, code, round(sr,6) AS stock_ratio, round(sc,6) AS sector_ratio, round(dl,6) AS daily_loss, round(dd,6) AS drawdown, blocks, warnings, blocks='' AS can_execute FROM y""", "snap"))(
-    lambda s, d: rounded(S.check_orders(*account_tables(s, d), daily=0.0501, liquidity=40000.0)
+    lambda s, d: rounded(S.check_orders(*account_tables(s, d), daily=0.0501, liquidity=40000.0, rows=I.table(s, d, "lineitem").count())
                          .select("account_id", "l_orderkey", "l_linenumber", "code", "stock_ratio", "sector_ratio", "daily_loss", "drawdown", "blocks", "warnings", "can_execute"), 6))
