@@ -36,9 +36,13 @@ def tradable_forward_returns(bars: DataFrame, days: int = 5) -> DataFrame:
     return bars.withColumn(f"forward_return_{days}d", F.when(c.isNotNull() & ~bad, div(c - close(), close())))
 
 
+def is_stored(df: DataFrame) -> bool:
+    return getattr(df, "_tidemark_done", False)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Store a frame that several passes read, unless it is stored already."""
-    if getattr(df, "_tidemark_done", False):
+    if is_stored(df):
         return df
     out = stored(df)
     out._tidemark_done = True
@@ -81,6 +85,11 @@ def _both(long: DataFrame, calm: Callable[[DataFrame], DataFrame], hot: Callable
     return calm(ordinary) if large is None else calm(ordinary).unionByName(hot(large))
 
 
+def by_dates(rows: DataFrame, calm: Callable[[DataFrame], DataFrame], hot: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``calm`` over the ordinary dates, each whole in one partition, and ``hot`` over those of more than ``PIECE`` rows."""
+    return _both(_divided(rows.select("*"), rows, lambda x: x), calm, hot)
+
+
 def _places(long: DataFrame) -> DataFrame:
     """Rows with ``_n``, doubled average ranks ``_a`` (value) and ``_b`` (return), places ``_up`` and ``_down`` by value, ties by code."""
     g = Window.partitionBy(*GRP)

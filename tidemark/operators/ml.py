@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer, QuantileDiscretizer, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import CODE, DATE, close, corr, div, lag, rmax, rmean, rmin, rstd, vol, wc
-from tidemark.operators.evaluate import daily_ic, materialize, to_long
+from tidemark.operators.evaluate import by_dates, daily_ic, is_stored, materialize, to_long
 from tidemark.operators.relational import rank_label
 from tidemark.operators.technical import macd, rsi
+from tidemark.session import stored
 from tidemark.sources.bars import day_index
 
 
@@ -100,29 +102,93 @@ def time_folds(panel: DataFrame, n: int = 3) -> DataFrame:
     days = day_index(panel)
     total = days.agg(F.max("day_no")).first()[0]
     fold = F.least(F.lit(n), F.floor((F.col("day_no") - 1) * (n + 1) / F.lit(total))).cast("int")
-    return panel.join(days.withColumn("fold", fold).select(DATE, "fold"), DATE)
+    return panel.join(F.broadcast(days.withColumn("fold", fold).select(DATE, "fold")), DATE)  # one row per day
+
+
+#: Most values of a column that a tree tells apart, and the share of the rows each tree sees, as drawn by hash.
+BINS, DRAWN = 32, 0.8
+#: Weight of every tree after the first.
+STEP = 0.1
+
+
+def _bin(c: str) -> str:
+    return f"_bin_{c}"
+
+
+def _ranked_within_dates(rows: DataFrame, ret: str) -> DataFrame:
+    """``rank_label`` by windows over dates that are sent once; dates too large for one task take the order statistics."""
+    w = Window.partitionBy(DATE)
+
+    def calm(x: DataFrame) -> DataFrame:
+        same = F.count(F.lit(1)).over(w.orderBy(ret).rangeBetween(Window.currentRow, Window.currentRow))
+        return x.withColumn("label", (F.rank().over(w.orderBy(ret)) - 1 + (same - 1) / 2.0) / F.count(F.lit(1)).over(w))
+    return by_dates(rows, calm, lambda x: rank_label(x, ret))
+
+
+def _cells(rows: DataFrame, cols: Sequence[str], rounds: int, seed: int) -> tuple[Bucketizer, DataFrame]:
+    """Rows counted by their bins: ``_n<m>`` rows that tree ``m`` sees and the sum ``_s<m>`` of their labels."""
+    cut = QuantileDiscretizer(numBuckets=BINS, inputCols=list(cols), outputCols=[_bin(c) for c in cols], handleInvalid="keep").fit(rows)
+    aggs = []
+    for m in range(rounds):
+        seen = F.pmod(F.xxhash64(F.lit(seed + m), DATE, "label", *cols), F.lit(1 << 30)) < int(DRAWN * (1 << 30))
+        aggs += [F.count_if(seen).cast("double").alias(f"_n{m}"), F.sum(F.when(seen, F.col("label"))).alias(f"_s{m}")]
+    return cut, materialize(cut.transform(rows).groupBy(*[_bin(c) for c in cols]).agg(*aggs))
+
+
+def _boosted(rows: DataFrame, cols: Sequence[str], depth: int, rounds: int, seed: int) -> PipelineModel:
+    """Gradient boosting on squared error, grown on cells.
+
+    A tree of binned columns knows a row by its bins and a node by sums over
+    its rows, so cells with their count and mean label give the tree that their
+    rows would. No row is kept in memory or spilled between rounds.
+    """
+    cut, cells = _cells(rows, cols, rounds, seed)
+    assemble = VectorAssembler(inputCols=[_bin(c) for c in cols], outputCol="_features")
+    cells, fitted, trees = assemble.transform(cells), F.lit(0.0), []
+    for m in range(rounds):
+        mean = F.try_divide(F.col(f"_s{m}"), F.col(f"_n{m}"))
+        target = mean if m == 0 else 2 * (mean - fitted)  # the loss falls fastest along twice the residual
+        grower = DecisionTreeRegressor(featuresCol="_features", labelCol="_y", weightCol="_w", predictionCol=f"_p{m}", maxDepth=depth, maxBins=BINS, seed=seed + m)
+        tree = grower.fit(cells.where(F.col(f"_n{m}") > 0).select("_features", target.alias("_y"), F.col(f"_n{m}").alias("_w")))
+        cells = tree.transform(cells)
+        fitted = fitted + F.col(f"_p{m}") * (1.0 if m == 0 else STEP)
+        trees.append(tree)
+    return PipelineModel([cut, assemble, _together(rows.sparkSession, trees, len(cols))])
+
+
+def _together(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel], width: int) -> GBTRegressionModel:
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    ml = jvm.org.apache.spark.ml.regression
+    parts, weights = new(ml.DecisionTreeRegressionModel, len(trees)), new(jvm.double, len(trees))
+    for i, t in enumerate(trees):
+        parts[i], weights[i] = t._java_obj, 1.0 if i == 0 else STEP
+    model = ml.GBTRegressionModel(f"GBTRegressor_{uuid.uuid4().hex[:12]}", parts, weights, width)
+    return GBTRegressionModel(model.setFeaturesCol("_features").setPredictionCol("prediction"))
 
 
 def train_ranker(panel: DataFrame, cols: Sequence[str], ret: str, folds: int = 3, depth: int = 4, rounds: int = 20,
                  seed: int = 7) -> tuple[PipelineModel, list[float | None]]:
-    """Boosted trees on the per-date rank target; time-ordered folds score by mean daily rank IC."""
-    data = rank_label(panel.where(F.col(ret).isNotNull()).fillna(0.0, list(cols)), ret)
-    data = materialize(time_folds(data.select(CODE, DATE, ret, "label", *cols), folds))  # every boosting round reads it
-    stages = [VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="keep"),
-              GBTRegressor(featuresCol="_features", labelCol="label", predictionCol="prediction", maxDepth=depth, maxIter=rounds,
-                           seed=seed, subsamplingRate=0.8)]
-    pipe, scores = Pipeline(stages=stages), []
+    """Boosted trees on the per-date rank target; time-ordered folds score by mean daily rank IC.
+
+    The panel is stored once and sent to its dates once; a fit then reads the
+    labelled rows twice, for the bins and for the counts by bin.
+    """
+    cols = list(cols)
+    kept = panel if is_stored(panel) else materialize(panel.select(CODE, DATE, ret, *cols))
+    rows = time_folds(kept.where(F.col(ret).isNotNull()).fillna(0.0, cols).select(CODE, DATE, ret, *cols), folds)
+    data = stored(_ranked_within_dates(rows.drop(CODE), ret).select(DATE, "fold", "label", *cols))
+    scores = []
     for k in range(1, folds + 1):
-        model = pipe.fit(data.where(F.col("fold") < k))
-        out = model.transform(data.where(F.col("fold") == k))
+        model = _boosted(data.where(F.col("fold") < k), cols, depth, rounds, seed)
+        out = model.transform(rows.where(F.col("fold") == k))
         ic = daily_ic(to_long(out, ["prediction"], ret))
         scores.append(ic.agg(F.avg("ic")).first()[0])
-    return pipe.fit(data), scores
+    return _boosted(data, cols, depth, rounds, seed), scores
 
 
 def score(model: PipelineModel, panel: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Batch scores; missing features count as 0."""
-    return model.transform(panel.fillna(0.0, list(cols))).drop("_features")
+    return model.transform(panel.fillna(0.0, list(cols))).drop("_features", *[_bin(c) for c in cols])
 
 
 def forecast_errors(df: DataFrame, predicted: str, actual: str, by: str = CODE, date: str = DATE) -> DataFrame:
