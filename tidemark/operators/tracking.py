@@ -211,7 +211,7 @@ def correlation_pairs(bars: DataFrame, coverage: float = 0.8, block: int = 200)
     """Correlation of daily returns for every pair of well-covered codes (``code_a < code_b``), missing returns 0.
 
     The matrix is the result, so its pairs must be written; they are computed as
-    products of blocks of ``block`` codes or more (a bounded number), each block pair its own group.
+    products of blocks of ``block`` codes or more, stored once and read by the tasks of their pairs.
     """
     from tidemark.operators._pairs import block_correlations
     r = bars.select(CODE, DATE, (div(close(), lag("close")) - 1).alias("r")).where("r is not null")
