@@ -8,10 +8,10 @@ statistics instead, so a date with very many codes spreads over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +61,9 @@ def to_long(panel: DataFrame, factors: Sequence[str], ret: str) -> DataFrame:
     def form(wide: DataFrame) -> DataFrame:
         pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("value")) for f in factors]))
         return wide.select(CODE, DATE, "ret", pairs.alias("_p")).select(CODE, DATE, "ret", "_p.factor", "_p.value").where(_finite(F.col("value")))
-    return _divided(form(x), x, form)
+    long = _divided(form(x), x, form)
+    long._tidemark_wide = (x, list(factors))
+    return long
 
 
 def _divided(long: DataFrame, source: DataFrame, form: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -252,16 +254,28 @@ def effective(metrics: DataFrame, min_ir: float = 0.3, min_ic: float = 0.02, max
 
 WINDOWS = 120  # most windows of one block; a block holds the rows of its windows + lookback - 1 dates
 BLOCK_ROWS = 12_000_000
+PACK = 3  # factors of one row of a block
+
+
+def _places_of(values: np.ndarray, missing: bool) -> np.ndarray:
+    """Place of each value among the distinct ones; NaN is the last of them, or -1 where it stands for a ``missing`` value."""
+    nan, order = np.isnan(values), np.argsort(values)
+    values = values[order]
+    step = np.zeros(len(values), bool)
+    step[1:] = (values[1:] != values[:-1]) & ~nan[order[:-1]]
+    del values
+    out = np.empty(len(step), np.int32)
+    out[order] = np.cumsum(step, dtype=np.int32)
+    if missing:
+        out[nan] = -1
+    return out
 
 
-def _window_ics(lookback: int, min_rows: int, width: int, last: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _window_ics(lookback: int, min_rows: int, width: int, last: int, pack: int) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pooled rank correlations of the windows of one block; ranks come from running counts of the block's sorted values."""
-    def ics(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(rows["d"].to_numpy(), kind="stable")
-        d = rows["d"].to_numpy()[order]
-        codes = [np.unique(rows[c].to_numpy()[order] + 0.0, return_inverse=True)[1].astype(np.int32) for c in ("value", "ret")]
+    def of(block: int, d: np.ndarray, codes: list[np.ndarray]) -> tuple[list[int], list[float]]:
         counts = [np.zeros(c.max() + 1, np.int32) for c in codes]
-        lo, hi = max(int(d[0]) + 1, lookback + 1, key[1] * width), min(int(d[-1]) + lookback, last, key[1] * width + width - 1)
+        lo, hi = max(int(d[0]) + 1, lookback + 1, block * width), min(int(d[-1]) + lookback, last, block * width + width - 1)
         days, out = [], []
         a = b = 0
         for w in range(lo, hi + 1):
@@ -278,43 +292,100 @@ def _window_ics(lookback: int, min_rows: int, width: int, last: int) -> Callable
                 continue
             ic = 0.0
             if n >= min_rows:
-                ra, rb = (2.0 * np.cumsum(k, dtype=np.int64)[c[a:b]] - k[c[a:b]] - n for c, k in zip(codes, counts))
+                ra, rb = (np.cumsum(k, dtype=np.int32)[c[a:b]] * 2.0 for c, k in zip(codes, counts))
+                for r, c, k in zip((ra, rb), codes, counts):
+                    r -= k[c[a:b]]
+                    r -= n
                 spread = np.sqrt(np.dot(ra, ra)) * np.sqrt(np.dot(rb, rb))
                 ic = float(np.dot(ra, rb) / spread) if spread > 0 else 0.0
             days.append(w)
             out.append(ic)
-        return pd.DataFrame({"f": key[0], "day_no": days, "rolling_ic": out})
+        return days, out
+
+    def ics(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["d", "ret", *[f"v{i}" for i in range(pack)]]
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in names}
+        few: dict[str, list[np.ndarray]] = {c: [] for c in names}
+        for batch in batches:
+            for c in names:
+                few[c].append(np.array(batch.column(c).to_numpy(zero_copy_only=False)))  # a copy, or the whole batch stays
+                if len(few[c]) == 100:  # large pieces go back to the system when freed
+                    parts[c].append(np.concatenate(few[c]))
+                    few[c].clear()
+        parts = {c: parts[c] + few.pop(c) for c in names}
+        d = np.concatenate(parts.pop("d"))
+        order = np.argsort(d, kind="stable").astype(np.int32)
+        d = d[order]
+
+        def column(c: str) -> np.ndarray:
+            values = np.concatenate(parts.pop(c))
+            values = values[order]
+            values += 0.0  # -0.0 is 0.0
+            return values
+        ret = _places_of(column("ret"), False)
+        values = [_places_of(column(c), pack > 1) for c in names[2:]]  # a pack of one has no row without its value
+        del order
+        for i in range(pack):
+            there = values[i] >= 0
+            if there.any():
+                days, out = of(key[1].as_py(), *((d, [values[i], ret]) if there.all() else (d[there], [values[i][there], ret[there]])))
+                yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py() * pack + i] * len(days), pa.int32()), pa.array(days, pa.int64()), pa.array(out, pa.float64())],
+                                                 ["f", "day_no", "rolling_ic"])
+            values[i] = None
     return ics
 
 
+def _packed(long: DataFrame) -> tuple[DataFrame, list[str], int]:
+    """Rows ``p, trade_date, ret, v0..``: pack ``p`` holds the values of that many factors, null where a row has none; their names; the size of a pack."""
+    if not hasattr(long, "_tidemark_wide"):
+        names = [r["factor"] for r in long.where(F.col("factor").isNotNull()).select("factor").distinct().orderBy("factor").collect()]
+        number = F.array_position(F.array(*[F.lit(f) for f in names]), F.col("factor")) - 1
+        return long.where(F.col("factor").isNotNull()).select(number.cast("int").alias("p"), DATE, "ret", F.col("value").cast("double").alias("v0")), names, 1
+    wide, names = long._tidemark_wide
+    size = min(PACK, len(names))
+    value = {f: F.when(_finite(F.col(f)), F.col(f)) for f in names}
+    packs = [[value[f] for f in names[i:i + size]] for i in range(0, len(names), size)]
+    rows = [F.struct(F.lit(p).alias("p"), *[(vs[i] if i < len(vs) else F.lit(None).cast("double")).alias(f"v{i}") for i in range(size)]) for p, vs in enumerate(packs)]
+    rows = wide.select(DATE, "ret", F.explode(F.array(*rows)).alias("_p")) if len(rows) > 1 else wide.select(DATE, "ret", rows[0].alias("_p"))
+    rows = rows.select("_p.p", DATE, "ret", *[f"_p.v{i}" for i in range(size)])
+    return rows.where(F.coalesce(*[F.col(f"v{i}") for i in range(size)]).isNotNull()), names, size
+
+
 def rolling_ic(long: DataFrame, lookback: int = 60, min_rows: int = 100) -> DataFrame:
     """Pooled rank correlation over the ``lookback`` dates before each date; 0 under ``min_rows``.
 
     Windows go to tasks in blocks of up to ``WINDOWS``, fewer where dates are
-    large, so a row is sent to few blocks, not to ``lookback`` windows.  Blocks
-    of more than ``BLOCK_ROWS`` rows are ranked window by window in Spark, where
-    one window spreads over tasks.
+    large, so a row is sent to few blocks, not to ``lookback`` windows, and
+    with the values of up to ``PACK`` factors at a time.  Blocks of more than
+    ``BLOCK_ROWS`` rows are ranked window by window in Spark, where one window
+    spreads over tasks.
     """
+    x, names, pack = _packed(long)
     days = materialize(day_index(long))
-    sizes = long.groupBy(*GRP).count().groupBy("factor").agg(F.max("count").alias("n")).orderBy("factor").collect()
-    names, most = [r["factor"] for r in sizes], max((r["n"] for r in sizes), default=1)
+    x = x.join(F.broadcast(days), DATE).withColumn("d", F.col("day_no").cast("int"))
+    sizes = x.groupBy("p", "d").count().collect()  # by day: bounded by the calendar
     last = days.agg(F.max("day_no")).first()[0] or 0
-    width = min(WINDOWS, max(1, BLOCK_ROWS // most - lookback))
-    number = F.array_position(F.array(*[F.lit(f) for f in names]), F.col("factor")).cast("int")
-    x = long.where(F.col("factor").isNotNull()).join(F.broadcast(days), DATE)
-    lo, hi = F.greatest(F.col("day_no") + 1, F.lit(lookback + 1)), F.least(F.col("day_no") + lookback, F.lit(last))
+    width = min(WINDOWS, max(1, BLOCK_ROWS // max((r["count"] for r in sizes), default=1) - lookback))
+    rows_of: dict[tuple[int, int], int] = {}
+    for r in sizes:
+        for b in range(max(r["d"] + 1, lookback + 1) // width, min(r["d"] + lookback, last) // width + 1):
+            rows_of[r["p"], b] = rows_of.get((r["p"], b), 0) + r["count"]
+    large = sorted(k for k, n in rows_of.items() if n > BLOCK_ROWS)
+    lo, hi = F.greatest(F.col("d") + 1, F.lit(lookback + 1)), F.least(F.col("d") + lookback, F.lit(last))
     blocks = F.sequence(F.floor(lo / width).cast("int"), F.floor(hi / width).cast("int"))
-    x = x.where(lo <= hi).select(number.alias("f"), F.col("day_no").cast("int").alias("d"), "value", "ret", F.explode(blocks).alias("_b"))
-    large = [(r["f"], r["_b"]) for r in x.groupBy("f", "_b").count().where(F.col("count") > BLOCK_ROWS).collect()]
-    hot = F.struct("f", "_b").isin([F.struct(F.lit(f), F.lit(b)) for f, b in large]) if large else F.lit(False)
-    out = x.where(~hot).groupBy("f", "_b").applyInPandas(_window_ics(lookback, min_rows, width, last), "f int, day_no long, rolling_ic double")
+    values = [f"v{i}" for i in range(pack)]
+    x = x.where(lo <= hi).select("p", "d", "ret", *values, F.explode(blocks).alias("_b"))
+    hot = F.struct("p", "_b").isin([F.struct(F.lit(p), F.lit(b)) for p, b in large]) if large else F.lit(False)
+    out = x.where(~hot).groupBy("p", "_b").applyInArrow(_window_ics(lookback, min_rows, width, last, pack), "f int, day_no long, rolling_ic double")
     if large:
         first, final = F.greatest(F.col("d") + 1, F.lit(lookback + 1), F.col("_b") * width), F.least(F.col("d") + lookback, F.lit(last), F.col("_b") * width + width - 1)
-        y = x.where(hot & (first <= final)).select("f", "value", "ret", F.explode(F.sequence(first, final).cast("array<bigint>")).alias("day_no"))
+        pairs = F.explode(F.array(*[F.struct((F.col("p") * pack + i).alias("f"), F.col(v).alias("value")) for i, v in enumerate(values)]))
+        y = x.where(hot & (first <= final)).select(pairs.alias("_v"), "ret", first.alias("_first"), final.alias("_final")).where("_v.value is not null")
+        y = y.select("_v.f", "_v.value", "ret", F.explode(F.sequence("_first", "_final").cast("array<bigint>")).alias("day_no"))
         y = with_rank(with_rank(y, ["f", "day_no"], "value", "_a"), ["f", "day_no"], "ret", "_b")
         g = y.groupBy("f", "day_no").agg(F.count(F.lit(1)).alias("n"), corr("_a", "_b").alias("_c"))
         out = out.unionByName(g.select("f", "day_no", F.when(F.col("n") >= min_rows, F.coalesce("_c", F.lit(0.0))).otherwise(0.0).alias("rolling_ic")))
-    factor = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("f")) if names else F.lit(None).cast("string")
+    factor = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("f") + 1) if names else F.lit(None).cast("string")
     return out.join(F.broadcast(days), "day_no").select(factor.alias("factor"), DATE, "rolling_ic")
 
 
